@@ -1,0 +1,150 @@
+"""Has this key been seen before? A log-structured index of key hashes in sorted runs (problem 2).
+
+Keys are kept in immutable runs, each a bucketed and sorted table of (hash, key): new keys form a
+run of level 0; when a level holds ``fanout`` runs they are merged into one run of the next level.
+A probe first asks each run's fences (least and greatest hash per block of the hash space, at most
+``2**BLOCK_BITS`` rows a run), then meets the run in a merge join on the hash, for which the run
+needs no shuffle, and every hit is verified by its full key. Nothing is held in memory but the
+fences; joins and merges sort and spill.
+"""
+
+from __future__ import annotations
+
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.session import partitions, written
+from tidelog.sources import publish
+
+BLOCK_BITS = 12
+
+
+@dataclass(frozen=True)
+class Decisions:
+    """``keys``: (key, h, first, hash_hit, hit) per distinct key of the batch; ``found``: the ids of records seen before."""
+
+    keys: DataFrame
+    found: DataFrame
+
+
+class SeenKeys:
+    """The index under ``path``. ``hash_bits`` below 64 gives shorter hashes and more hits to verify.
+
+    Null and empty keys are never indexed and never found. A record id must be unique in its batch;
+    the record with the smallest id of a key new to the index is the one not seen before.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, fanout: int = 4, hash_bits: int = 64, buckets: int | None = None):
+        self.spark, self.path, self.fanout, self.hash_bits = spark, path, fanout, hash_bits
+        version = publish.latest_version(spark, f"{path}/versions")
+        state = publish.load(spark, f"{path}/versions", version) if version else {"runs": [], "buckets": buckets or partitions(spark)}
+        self.version, self.runs, self.buckets = version, state["runs"], state["buckets"]
+
+    def hash_of(self, key: str) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(key), 64 - self.hash_bits) if self.hash_bits < 64 else F.xxhash64(key)
+
+    def block_of(self, h: str) -> Column:
+        return F.shiftrightunsigned(F.col(h), self.hash_bits - BLOCK_BITS).cast("int")
+
+    def first_per_key(self, records: DataFrame, key: str, id_: str | None) -> DataFrame:
+        """(key, h, first): one row per key; partial aggregation keeps a hot key to a row per task."""
+        known = records.where(F.col(key).isNotNull() & (F.length(key) > 0))
+        first = F.min(id_) if id_ else F.lit(None).cast("long")
+        return known.groupBy(F.col(key).alias("key")).agg(first.alias("first")).select("key", self.hash_of("key").alias("h"), "first")
+
+    def add(self, records: DataFrame, key: str = "key", level: int = 0) -> None:
+        """Index the keys of ``records`` as one run; a bulk load may go straight to a deep level."""
+        self._add_run(self.first_per_key(records, key, None).select("h", "key"), level)
+
+    def process(self, records: DataFrame, id_: str = "record_id", key: str = "key") -> Decisions:
+        """Decide for every record whether its key came earlier, and index the keys that did not.
+
+        Only distinct keys are probed. A record is seen before unless it is the first of a new key,
+        so the records themselves meet only the list of those firsts, joined by id, without skew.
+        """
+        probes = self.first_per_key(records, key, id_)
+        keys = written(self._probe(probes), "decisions")
+        new = keys.where(~F.col("hit"))
+        self._add_run(new.select("h", "key"), 0)
+        known = records.where(F.col(key).isNotNull() & (F.length(key) > 0)).select(id_)
+        return Decisions(keys, known.join(new.select(F.col("first").alias(id_)), id_, "left_anti"))
+
+    def _probe(self, probes: DataFrame) -> DataFrame:
+        out = probes.withColumns({"hash_hit": F.lit(False), "hit": F.lit(False)}).repartition(self.buckets, "h")
+        for run in self.runs:
+            fences = F.broadcast(self.spark.read.parquet(run["path"] + "/fences"))  # at most 2**BLOCK_BITS rows
+            fenced = out.join(fences, (self.block_of("h") == fences["block"]) & F.col("h").between(fences["min_h"], fences["max_h"]), "left")
+            fenced = fenced.select(*out.columns, F.when(F.col("block").isNotNull(), F.col("h")).alias("probe_h"))
+            keys = self._read(run).select(F.col("h").alias("run_h"), F.col("key").alias("run_key"))
+            met = fenced.join(keys.hint("merge"), (F.col("h") == F.col("run_h")) & F.col("probe_h").isNotNull(), "left")
+            met = met.select(
+                "key", "h", "first", (F.col("hash_hit") | F.col("run_h").isNotNull()).alias("hash_hit"), (F.col("hit") | F.coalesce(F.col("run_key") == F.col("key"), F.lit(False))).alias("hit")
+            )
+            # several keys of a run may share a hash: one decision per key, within the same partitioning
+            out = met.groupBy("h", "key").agg(F.min("first").alias("first"), F.max("hash_hit").alias("hash_hit"), F.max("hit").alias("hit"))
+        return out.select("key", "h", "first", "hash_hit", "hit")
+
+    def _write_run(self, rows: DataFrame, level: int) -> dict:
+        path = f"{self.path}/run-{uuid.uuid4().hex}"
+        name = "tidelog_run_" + uuid.uuid4().hex
+        (rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{path}/data").saveAsTable(name))
+        data = self.spark.table(name)
+        fences = data.groupBy(self.block_of("h").alias("block")).agg(F.min("h").alias("min_h"), F.max("h").alias("max_h"), F.count(F.lit(1)).alias("n"))
+        fences.coalesce(1).write.parquet(f"{path}/fences")
+        return {"path": path, "level": level, "table": name}
+
+    def _read(self, run: dict) -> DataFrame:
+        if not self.spark.catalog.tableExists(run["table"]):  # another session made it
+            self.spark.sql(f"CREATE TABLE {run['table']} (h BIGINT, key BINARY) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{run['path']}/data'")
+        return self.spark.table(run["table"])
+
+    def _publish(self, runs: list[dict]) -> None:
+        publish.publish(self.spark, f"{self.path}/versions", self.version + 1, {"runs": runs, "buckets": self.buckets})
+        self.version, self.runs = self.version + 1, runs
+
+    def _add_run(self, rows: DataFrame, level: int) -> None:
+        self._publish([*self.runs, self._write_run(rows, level)])
+        self.compact()
+
+    def compact(self) -> None:
+        """Merge full levels, lowest first; a merged run is published before its inputs are removed."""
+        level = 0
+        while any(r["level"] >= level for r in self.runs):
+            same = [r for r in self.runs if r["level"] == level]
+            if len(same) >= self.fanout:
+                rows = self._read(same[0])
+                for r in same[1:]:
+                    rows = rows.union(self._read(r))
+                merged = self._write_run(rows.repartition(self.buckets, "h").dropDuplicates(["h", "key"]), level + 1)
+                self._publish([r for r in self.runs if r["level"] != level] + [merged])
+                for r in same:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {r['table']}")
+                    publish.remove(self.spark, r["path"])
+            level += 1
+
+
+def seen_before(spark: SparkSession, known: DataFrame, incoming: DataFrame, path: str, **options) -> Decisions:
+    """Bulk-load the keys of ``known`` as one deep run, then decide the batch ``incoming``."""
+    index = SeenKeys(spark, path, **options)
+    index.add(known, level=1)
+    return index.process(incoming)
+
+
+def wrong_rate(decisions: Decisions, known: DataFrame) -> DataFrame:
+    """One row: decided keys, hits by hash alone, verified hits, and the measured rates of wrong answers.
+
+    ``wrong_by_hash`` counts answers that the hash alone would have got wrong, ``wrong`` those the
+    verified answers get wrong against an exact semi-join of the full keys.
+    """
+    truth = known.select("key").distinct().select("key", F.lit(True).alias("known"))
+    each = decisions.keys.join(truth, "key", "left").select("hash_hit", "hit", F.coalesce("known", F.lit(False)).alias("known"))
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    out = each.agg(
+        F.count(F.lit(1)).alias("keys"), count(F.col("hash_hit")).alias("hash_hits"), count(F.col("hit")).alias("hits"),
+        count(F.col("hash_hit") != F.col("known")).alias("wrong_by_hash"), count(F.col("hit") != F.col("known")).alias("wrong"),
+    )
+    rate = lambda c: F.when(F.col("keys") > 0, F.col(c) / F.col("keys")).otherwise(F.lit(0.0))
+    return out.withColumns({"wrong_rate_by_hash": rate("wrong_by_hash"), "wrong_rate": rate("wrong")})
