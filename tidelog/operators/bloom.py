@@ -69,7 +69,7 @@ def positions(rows: DataFrame) -> DataFrame:
 def build(entries: DataFrame, fp_rate: float = 0.01) -> DataFrame:
     """The filters of all layers as rows (layer_id, byte, bits): built by a grouped OR, never as one object."""
     sized = entries.select("layer_id", "key").join(parameters(entries, fp_rate), "layer_id")
-    each = positions(sized).select("layer_id", F.floor(F.col("pos") / 8).alias("byte"), F.shiftleft(F.lit(1), (F.col("pos") % 8).cast("int")).alias("bit"))
+    each = positions(sized).select("layer_id", F.floor(F.col("pos") / 8).alias("byte"), F.expr("shiftleft(1, cast(pos % 8 as int))").alias("bit"))
     return each.groupBy("layer_id", "byte").agg(F.bit_or("bit").alias("bits"))
 
 

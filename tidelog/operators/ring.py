@@ -1,12 +1,13 @@
 """Consistent-hash placement: tokens, preference lists, coordinators and routing.
 
-A ring has nodes times virtual nodes tokens, kept as one sorted array; its size is checked, and it
-reaches the tasks as a scalar. Positions are the first 16 hex digits of SHA-1, whose order as text
+A ring has nodes times virtual nodes tokens; its size is checked, and it reaches the tasks as a small
+table of segments. Positions are the first 16 hex digits of SHA-1, whose order as text
 is the order of the unsigned numbers.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tidelog.schema import InvalidArgument, Peer
 
 VNODES = 32
-#: Above so many tokens the ring is too large to be an array in every task.
+#: Above so many tokens the ring is too large to be broadcast.
 MAX_TOKENS = 1 << 16
 
 
@@ -43,19 +44,33 @@ class Ring:
         each = nodes.withColumn("vnode", F.explode(F.sequence(F.lit(0), F.lit(self.vnodes - 1))))
         return each.select(position(F.concat_ws("#", "node_id", "vnode")).alias("token"), "node_id", "addr", "vnode")
 
-    def _sorted(self, spark: SparkSession) -> Column:
-        return self.tokens(spark).agg(F.array_sort(F.collect_list(F.struct("token", F.col("node_id").alias("node"))))).scalar()
-
-    def preferences(self, spark: SparkSession, n: int, key: str = "key") -> Column:
-        """The first ``n`` distinct nodes clockwise from the key, fewer if there are fewer nodes."""
-        pos = position(key)
-        ring = self._sorted(spark)
-        clockwise = F.concat(F.filter(ring, lambda t: t["token"] >= pos), F.filter(ring, lambda t: t["token"] < pos))
-        return F.slice(F.array_distinct(F.transform(clockwise, lambda t: t["node"])), 1, n)
+    def segments(self, spark: SparkSession, n: int) -> DataFrame:
+        """(prefix, lo, hi, prefs): the preference list of positions in lo < pos <= hi, per leading hex digits.
+
+        A segment ends at each token and lies once under every prefix it touches, so a position finds
+        its one row by an equi-join on its prefix. There are at most tokens + 16**digits + 1 rows.
+        """
+        ring = sorted((hashlib.sha1(f"{p.node_id}#{v}".encode()).hexdigest()[:16], p.node_id) for p in self.nodes for v in range(self.vnodes))
+        names = [node for _, node in ring]
+        digits = 2 if len(ring) <= 256 else 3
+        ends = [t for t, _ in ring] + ["f" * 16]
+        rows, lo = [], ""
+        for i, hi in enumerate(ends):
+            clockwise = names[i % len(ring) :] + names[: i % len(ring)]
+            prefs = list(dict.fromkeys(clockwise))[:n]
+            rows += [(f"{p:0{digits}x}", lo, hi, prefs) for p in range(int(lo[:digits] or "0", 16), int(hi[:digits], 16) + 1)]
+            lo = hi
+        return spark.createDataFrame(rows, "prefix string, lo string, hi string, prefs array<string>")
 
     def place(self, keys: DataFrame, n: int) -> DataFrame:
-        """``keys`` with ``prefs`` and ``coordinator``."""
-        placed = keys.withColumn("prefs", self.preferences(keys.sparkSession, n))
+        """``keys`` (key, ...) with ``prefs``, the first ``n`` distinct nodes clockwise from the key (fewer if
+        there are fewer nodes), and ``coordinator``. Null keys have no place and drop out.
+        """
+        segments = self.segments(keys.sparkSession, n)
+        digits = len(segments.first()["prefix"])
+        pos = keys.withColumn("_pos", position("key"))
+        on = (F.substring("_pos", 1, digits) == F.col("prefix")) & (F.col("_pos") > F.col("lo")) & (F.col("_pos") <= F.col("hi"))
+        placed = pos.join(F.broadcast(segments), on).drop("_pos", "prefix", "lo", "hi")  # bounded by MAX_TOKENS
         return placed.withColumn("coordinator", F.col("prefs")[0])
 
 
