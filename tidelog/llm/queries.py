@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import mixture, tokenize
+from tidelog.llm import mixture, mojibake, tokenize
 from tidelog.session import table
 
 
@@ -27,6 +27,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_target"))[1]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_ids, p8_found, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.find(table(spark, d, "documents")).documents.select("doc_id")
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return mojibake.restore(documents, mojibake.find(documents))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_ids, p8_found, p8_mix, p8_shares, p9_found, p9_restored)}
 #: Tokenizing has no SQL; these queries are tested against plain encoding and brute force.
 ORACLE: dict[str, str] = {}
