@@ -1,0 +1,48 @@
+import random
+
+from tidelog.operators import seen
+from tidelog.session import new_path
+
+SCHEMA = "record_id long, key binary, extra string, h long"
+
+
+def batch(spark, data):
+    return spark.createDataFrame([(i, k, "x", 1) for i, k in data], SCHEMA)
+
+
+def ids(d):
+    return sorted(r.record_id for r in d.found.collect())
+
+
+def test_batches_against_a_set(spark):
+    rnd = random.Random(1)
+    index, known, at = seen.SeenKeys(spark, new_path(spark, "t"), fanout=2, buckets=3), set(), 0
+    for _ in range(4):
+        data = [(at + i, rnd.choice([None, b"", b"hot", b"hot", b"k%d" % rnd.randrange(40)])) for i in range(60)]
+        at += 60
+        rnd.shuffle(data)
+        want = []
+        for i, k in sorted(data, key=lambda x: x[0]):
+            if k:
+                if k in known:
+                    want.append(i)
+                known.add(k)
+        assert ids(index.process(batch(spark, data))) == sorted(want)
+    levels = [r["level"] for r in index.runs]
+    assert max(levels) >= 1 and all(levels.count(x) < 2 for x in levels)  # full levels were merged
+    again = seen.SeenKeys(spark, index.path, fanout=2)
+    assert ids(again.process(batch(spark, [(10**6, b"hot"), (10**6 + 1, b"new")]))) == [10**6]
+
+
+def test_short_hashes_are_verified(spark):
+    old = spark.createDataFrame([(b"k%d" % i,) for i in range(3000)], "key binary")
+    d = seen.seen_before(spark, old, batch(spark, [(i, b"k%d" % (i * 2)) for i in range(3000)]), new_path(spark, "t"), hash_bits=16)
+    assert ids(d) == list(range(1500))
+    r = seen.wrong_rate(d, old).first()
+    assert r.wrong == 0 and r.wrong_by_hash > 0 and r.hits == 1500
+
+
+def test_empty(spark):
+    d = seen.seen_before(spark, spark.createDataFrame([], "key binary"), batch(spark, []), new_path(spark, "t"))
+    assert ids(d) == []
+    assert seen.wrong_rate(d, spark.createDataFrame([], "key binary")).first().wrong_rate == 0.0

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.operators import archive, incremental, keyload, reconcile, seen, signed
 from tidelog.session import new_path, table
 
-KEY_HEX = F.lower(F.hex("key")).alias("key_hex")
-VALUE_HEX = F.lower(F.hex("value")).alias("value_hex")
+
+def as_hex(c: str) -> Column:
+    return F.lower(F.hex(c)).alias(f"{c}_hex")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -43,11 +44,11 @@ def p2_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return signed.live_images(table(spark, d, "wal_record")).select("node_id", KEY_HEX, "seq_no")
+    return signed.live_images(table(spark, d, "wal_record")).select("node_id", as_hex("key"), "seq_no")
 
 
 def p3_live(spark: SparkSession, d: str) -> DataFrame:
-    return signed.live_rows(table(spark, d, "wal_record")).select("node_id", KEY_HEX, "seq_no", VALUE_HEX)
+    return signed.live_rows(table(spark, d, "wal_record")).select("node_id", as_hex("key"), "seq_no", as_hex("value"))
 
 
 def p4_target(spark: SparkSession, d: str) -> incremental.IncrementalTarget:
@@ -79,7 +80,7 @@ def p4_rerun(spark: SparkSession, d: str) -> DataFrame:
         pass
     target.run(log)
     target.run(log)
-    return target.rows().select("node_id", "seq_no", "op", KEY_HEX, VALUE_HEX, "target_version")
+    return target.rows().select("node_id", "seq_no", "op", as_hex("key"), as_hex("value"), "target_version")
 
 
 def p5_archive(spark: SparkSession, d: str) -> archive.Archive:
@@ -91,7 +92,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_entries(spark: SparkSession, d: str) -> DataFrame:
-    return archive.unpack(p5_archive(spark, d)).select("layer_id", KEY_HEX, VALUE_HEX, "seq_no", "tombstone")
+    return archive.unpack(p5_archive(spark, d)).select("layer_id", as_hex("key"), as_hex("value"), "seq_no", "tombstone")
 
 
 def p5_index(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +101,7 @@ def p5_index(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     diffs = reconcile.differences(table(spark, d, "sst_entry"), table(spark, d, "sst_backup"), reconcile.STORE, ("only_entry", "only_backup"))
-    return diffs.select("layer_id", KEY_HEX, "diff")
+    return diffs.select("layer_id", as_hex("key"), "diff")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
