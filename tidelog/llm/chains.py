@@ -10,7 +10,7 @@ import unicodedata
 from functools import lru_cache
 
 #: What texts may have been written in, and read in.
-WRITTEN = ("utf-8", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "cp852", "cp866", "mac_roman", "koi8_r", "iso8859_2", "iso8859_5", "iso8859_7", "iso8859_9", "cp932", "euc_jp")
+WRITTEN = ("utf-8", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp737", "cp850", "cp852", "cp857", "cp861", "cp866", "mac_roman", "mac_latin2", "mac_cyrillic", "mac_greek", "mac_turkish", "koi8_r", "iso8859_2", "iso8859_5", "iso8859_7", "iso8859_9", "cp932", "euc_jp")
 READ = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "cp852", "cp866", "mac_roman", "koi8_r", "iso8859_2", "iso8859_7", "cp932")
 MULTIBYTE = frozenset(("utf-8", "cp932", "euc_jp"))
 CHAINS = tuple((w, r) for w in WRITTEN for r in READ if w != r)

@@ -193,11 +193,12 @@ def garbled_words(counts: DataFrame, model: Classifier) -> DataFrame:
     lost = counts.where(F.col("n") >= LEAST).mapInArrow(lose, "own string, n long").groupBy("own").agg(F.max("n").alias("of"))
     far = F.col("of") >= F.greatest(F.lit(LEAST), RATIO * F.coalesce("mine", F.lit(0)))
     mine = known.select(F.col("term").alias("own"), F.col("n").alias("mine"))
-    inverted = tries.join(known.select("term", F.col("n").alias("of")), "term").join(mine, "own", "left").where(far)
+    # sizes of what Python produces are guessed low: merge joins, so that none of it is broadcast
+    inverted = tries.join(known.select("term", F.col("n").alias("of")).hint("merge"), "term").join(mine.hint("merge"), "own", "left").where(far)
     best = inverted.groupBy("word").agg(F.max_by(F.struct("restored", "written", "read", "strong", "changed"), F.struct("strong", "of", "restored")).alias("b"))
     keyed = counts.select("word").mapInArrow(_cores, "word string, own string")
-    lossy = keyed.join(lost, "own").join(mine, "own", "left").where(far).select("word", F.lit(True).alias("lossy")).distinct()
-    both = best.join(lossy, "word", "full_outer")
+    lossy = keyed.join(lost.hint("merge"), "own").join(mine.hint("merge"), "own", "left").where(far).select("word", F.lit(True).alias("lossy")).distinct()
+    both = best.join(lossy.hint("merge"), "word", "full_outer")
     return both.select("word", "b.restored", "b.written", "b.read", (F.coalesce("b.strong", F.lit(False)) | F.coalesce("lossy", F.lit(False))).alias("strong"), F.coalesce("b.changed", F.lit(1)).alias("changed"))
 
 
