@@ -38,9 +38,12 @@ def read_bytes(data: bytes, encoding: str) -> str | None:
 def garble(text: str, chain: tuple[str, str]) -> str | None:
     """``text`` through the chain, or None if the chain cannot carry it."""
     try:
-        return read_bytes(text.encode(chain[0]), chain[1])
+        data = text.encode(chain[0])
     except UnicodeEncodeError:
         return None
+    if chain[0] == "cp932" and data.decode("cp932") != text:  # it has several characters for some codes
+        return None
+    return read_bytes(data, chain[1])
 
 
 def ungarble(text: str, chain: tuple[str, str]) -> str | None:
