@@ -89,7 +89,7 @@ class TableSource(DataSource):
 
 
 class TableReader(DataSourceReader):
-    """Equality on the key reaches the reader if Spark's Python filter pushdown is on; others are left to Spark."""
+    """Equality on the key reaches the reader; other filters are left to Spark."""
 
     def __init__(self, options: dict) -> None:
         self.folder, self.key = options["path"], None
@@ -113,6 +113,8 @@ class TableReader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> SparkSession:
+    """Make both sources known to the session, and let filters reach their readers."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (LogSource, TableSource):
         ship(spark).dataSource.register(source)
     return spark
