@@ -32,7 +32,7 @@ from tidelog.session import ship, written
 TRAIN_WORDS = 4000
 HASH_BITS, SMOOTH = 12, 0.05
 #: Chains tried per word, and how far below the clean class the best of them may score.
-TRIED, SLACK = 8, 6.0
+TRIED, SLACK = 8, 12.0
 #: An inverse must be so many times as frequent as the word, and at least so frequent.
 RATIO, LEAST = 5, 3
 
@@ -109,6 +109,7 @@ class Classifier:
         if len(h):
             starts = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1])))
             out[item[starts]] = np.add.reduceat(self.table.T[h], starts, axis=0)
+        out[:, -1] += np.log(len(self.chains))  # clean text is as likely beforehand as all chains together
         return out
 
     def predict(self, items: list[str]) -> list[tuple[str, str] | None]:
