@@ -114,3 +114,21 @@ def test_invalid_filters():
     for m, k, n in ((0, 1, 0), (9, 1, 2), (64, 0, 8), (64, 1, 7)):
         with pytest.raises(Corruption):
             bloom.unmarshal(struct.pack("<QQ", m, k) + bytes(n))
+
+
+def test_read_metrics_against_lookups(spark):
+    from tidelog.operators import stats
+
+    data = [(0, b"a", 1, 1, b"x"), (1, b"a", 2, 1, b"y"), (1, b"b", 3, 2, None), (2, b"c", 4, 1, b"z")]
+    df = flushed(spark, data)
+    asked = spark.createDataFrame([(k,) for k in (b"a", b"b", b"c", b"d", b"a")], "key binary")
+    said = {(r.layer_id, bytes(r.key)): r.maybe for r in bloom.probe(spark.createDataFrame([(l, k) for l in range(3) for k in (b"a", b"b", b"c", b"d")], "layer_id long, key binary"), bloom.build(df), bloom.parameters(df)).collect()}
+    checks = skips = reads = 0
+    for k in (b"a", b"b", b"c", b"d"):
+        for l in (2, 1, 0):
+            checks += 1
+            skips += not said[l, k]
+            reads += said[l, k]
+            if (l, k) in {r[:2] for r in data}:
+                break
+    assert tuple(stats.read_metrics(asked, df).first()) == (checks, skips, reads)

@@ -85,3 +85,47 @@ def test_stream_equals_batch_and_repeats_do_nothing(spark, tmp_path):
 
 def test_maintenance_order():
     assert maintain(9, 1, 8) == ["flush"] and maintain(9, 0, 8) == ["compact"] and maintain(3, 0, 8) == []
+
+
+def test_background_work_and_status(spark):
+    s = Store(spark, new_path(spark, "s"), StorageConfig(memtable_max_bytes=6, l0_compaction_trigger=2, size_tiered_fan_in=2))
+    write(spark, s, (1, b"a", b"1"))
+    assert s.background() == []
+    write(spark, s, (1, b"b", b"12345"))
+    assert s.background() == ["flush"]
+    write(spark, s, (1, b"c", b"12345"))
+    assert s.background_status()["flush_queue_len"] == 1
+    assert s.background() == ["flush", "compact"] and len(s.doc["tables"]) == 1
+    status = s.background_status()
+    assert (status["flush_jobs_total"], status["compact_jobs_total"], status["last_error"]) == (2, 1, "none")
+
+    def fail():
+        raise OSError("disk")
+
+    write(spark, s, (1, b"d", b"12345"))
+    s.flush = fail
+    assert s.background() == [] and s.background_status()["last_error"] == "flush: disk"
+    assert s.stats()["engine_status"] == "degraded: flush: disk"
+
+
+def test_command_line(spark, tmp_path):
+    from tidelog.__main__ import main
+
+    (tmp_path / "c.json").write_text('{"data_dir": "%s"}' % (tmp_path / "data"))
+    said = []
+
+    def call(*argv):
+        said.clear()
+        return main([*argv, "--config", str(tmp_path / "c.json")], spark, said.append)
+
+    assert call("init") == 0
+    assert call("put", "--key", "k", "--value", "v") == 0 and said == ["ok seq_no=1"]
+    assert call("get", "--key", "k") == 0 and said == ["v"]
+    assert call("flush") == 0 and said == ["ok sst_count=1 last_seq_no=1"]
+    assert call("del", "--key", "k") == 0 and call("get", "--key", "k") == 0 and said == ["not found"]
+    assert call("manifest-info") == 0 and said == ["1 000001.sst 6b 6b 1 1 23"]
+    assert call("list-sst") == 0 and said == ["1 000001.sst 23 1"]
+    assert call("compact") == 0 and call("stats") == 0 and "last_seq_no: 2" in said
+    assert call("bg-status") == 0 and "last_error: none" in said and call("close") == 0
+    with pytest.raises(SystemExit):
+        call("put", "--key", "k")

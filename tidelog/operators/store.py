@@ -23,6 +23,7 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, config: StorageConfig = StorageConfig()):
         self.spark, self.path, self.config, self.closed = spark, path, config, False
         self.counters = dict.fromkeys(("puts", "deletes", "flushes", "compactions", "last_flush_ms", "last_compact_ms"), 0)
+        self.last_error: str | None = None
         v = publish.latest_version(spark, f"{path}/versions")
         self.version = v
         self.doc = publish.load(spark, f"{path}/versions", v) if v else {"epoch": 0, "tables": [], "log": [], "last_seq_no": 0}
@@ -119,6 +120,30 @@ class Store:
         self.counters["last_compact_ms"] = int((time.time() - began) * 1000)
         return inputs
 
+    def due(self) -> list[str]:
+        """The background work the configuration asks for now; a full log is flushed before anything is merged."""
+        full = bool(self.doc["log"]) and snapshot.memory_size(self._active()).first().bytes >= self.config.memtable_max_bytes
+        return ["flush"] * full or ["compact"] * manifest.wants_compaction(len(self.doc["tables"]), self.config.l0_compaction_trigger)
+
+    def background(self) -> list[str]:
+        """Do what is due, as after a micro-batch; an error is kept for the status and does not stop the store."""
+        done = []
+        while (jobs := self.due()) and (not done or done[-1] != jobs[0]):
+            try:
+                self.flush() if jobs[0] == "flush" else self.compact()
+            except Exception as e:
+                self.last_error = f"{jobs[0]}: {e}"
+                break
+            done += jobs[:1]
+        return done
+
+    def background_status(self) -> dict:
+        c, jobs = self.counters, [] if self.closed else self.due()
+        return {
+            "flush_queue_len": jobs.count("flush"), "compact_queue_len": jobs.count("compact"), "flush_jobs_total": c["flushes"], "compact_jobs_total": c["compactions"], "last_flush_ms": c["last_flush_ms"],
+            "last_compact_ms": c["last_compact_ms"], "compaction_trigger": self.config.l0_compaction_trigger, "last_error": self.last_error or "none",
+        }
+
     def vacuum(self) -> int:
         """Remove layer and log folders no manifest names; the number removed."""
         fs, p = hadoop_path(self.spark, self.path)
@@ -131,7 +156,7 @@ class Store:
     def stats(self) -> dict:
         active = snapshot.memory_size(self._active()).first() if not self.closed and self.doc["log"] else None
         return {
-            "engine_status": "closed" if self.closed else "open", "last_seq_no": self.doc["last_seq_no"], "active_entries": active.entries if active else 0, "active_bytes": active.bytes if active else 0,
+            "engine_status": "closed" if self.closed else f"degraded: {self.last_error}" if self.last_error else "open", "last_seq_no": self.doc["last_seq_no"], "active_entries": active.entries if active else 0, "active_bytes": active.bytes if active else 0,
             "sst_count": len(self.doc["tables"]), "sst_total_bytes": sum(t["file_size"] for t in self.doc["tables"]), "epoch": self.doc["epoch"], **self.counters,
         }
 

@@ -262,6 +262,11 @@ def store_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats.store_stats(changelog(spark, d), live_tables(spark, d))
 
 
+def read_metrics(spark: SparkSession, d: str) -> DataFrame:
+    keys = changelog(spark, d).select("key").distinct()
+    return stats.read_metrics(keys.union(keys.select(F.concat("key", F.lit("-absent")))), flushed(spark, d))
+
+
 def op_counts(spark: SparkSession, d: str) -> DataFrame:
     return stats.op_counts(changelog(spark, d))
 
@@ -301,7 +306,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         live_snapshot, latest_with_tombstones, deleted_keys, point_get, multi_get, snapshot_as_of_seq, memory_size, layer_flush, layer_manifest, layer_sizes, merge_layers, compaction_equivalence,
         layer_read_rule, seq_read_rule, size_tiered_pick, pick_fallback, pick_per_node_store, manifest_after_compaction, manifest_info, manifest_violations, list_layers, orphan_layers, live_layer_entries,
         recovery_fold_store, ring_tokens, ring_preference, ring_ownership, routing, write_quorum_outcome, replica_state, read_quorum_outcome, read_quorum_unavailable, stale_after_missed_writes, bloom_params,
-        bloom_hash, bloom_probe, index_blocks, index_locate, store_stats, op_counts, wal_bytes, wal_segments_store, invalid_mutations, rotation, stream_live_snapshot,
+        bloom_hash, bloom_probe, index_blocks, index_locate, store_stats, read_metrics, op_counts, wal_bytes, wal_segments_store, invalid_mutations, rotation, stream_live_snapshot,
     )
 }
 
