@@ -31,8 +31,8 @@ from tidelog.session import ship, written
 #: Words the classifier is fitted on: the most frequent ones.
 TRAIN_WORDS = 4000
 HASH_BITS, SMOOTH = 12, 0.05
-#: Chains tried per word, and how far below the clean class the best of them may score.
-TRIED, SLACK = 8, 12.0
+#: Chains tried per word at most, and how far below the clean class they may score.
+TRIED, SLACK = 64, 12.0
 #: An inverse must be so many times as frequent as the word, and at least so frequent.
 RATIO, LEAST = 5, 3
 
@@ -173,11 +173,13 @@ def garbled_words(counts: DataFrame, model: Classifier) -> DataFrame:
                 own = terms(w)
                 for chain in tried:
                     for o in chains.inverses(w, chain):
+                        if chain[0] != "utf-8" and _CONTROL.search(o):
+                            continue
                         changed = sum(c > "\x7f" for c in w)
                         strong = chain[0] in chains.MULTIBYTE and changed > 1
                         # single-byte encodings turn letters into other letters: there only the whole word is evidence
                         for t in terms(o) if strong else terms(o)[:1]:
-                            if t not in own and (strong or len(t) > 1):
+                            if t not in own and (len(t) > 1 or chain[0] == "utf-8" and strong):
                                 rows.append((w, own[0], t, o, *chain, strong, changed))
             cols = list(zip(*rows)) or [[]] * 8
             kinds = [pa.string()] * 6 + [pa.bool_(), pa.int32()]
