@@ -180,10 +180,10 @@ def garbled_words(counts: DataFrame, model: Classifier) -> DataFrame:
                         # single-byte encodings turn letters into other letters: there only the whole word is evidence
                         for t in terms(o) if strong else terms(o)[:1]:
                             if t not in own and (len(t) > 1 or chain[0] == "utf-8" and strong):
-                                rows.append((w, own[0], t, o, *chain, strong, changed))
-            cols = list(zip(*rows)) or [[]] * 8
-            kinds = [pa.string()] * 6 + [pa.bool_(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["word", "own", "term", "restored", "written", "read", "strong", "changed"])
+                                rows.append((w, own[0], t, o, *chain, strong, changed, -chains.CHAINS.index(chain)))
+            cols = list(zip(*rows)) or [[]] * 9
+            kinds = [pa.string()] * 6 + [pa.bool_(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["word", "own", "term", "restored", "written", "read", "strong", "changed", "common"])
 
     def lose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,13 +192,13 @@ def garbled_words(counts: DataFrame, model: Classifier) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["own", "n"])
 
     known = written(counts.mapInArrow(count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "terms")
-    tries = counts.select("word").mapInArrow(invert, "word string, own string, term string, restored string, written string, read string, strong boolean, changed int")
+    tries = counts.select("word").mapInArrow(invert, "word string, own string, term string, restored string, written string, read string, strong boolean, changed int, common int")
     lost = counts.where(F.col("n") >= LEAST).mapInArrow(lose, "own string, n long").groupBy("own").agg(F.max("n").alias("of"))
     far = F.col("of") >= F.greatest(F.lit(LEAST), RATIO * F.coalesce("mine", F.lit(0)))
     mine = known.select(F.col("term").alias("own"), F.col("n").alias("mine"))
     # sizes of what Python produces are guessed low: merge joins, so that none of it is broadcast
     inverted = tries.join(known.select("term", F.col("n").alias("of")).hint("merge"), "term").join(mine.hint("merge"), "own", "left").where(far)
-    best = inverted.groupBy("word").agg(F.max_by(F.struct("restored", "written", "read", "strong", "changed"), F.struct("strong", "of", "restored")).alias("b"))
+    best = inverted.groupBy("word").agg(F.max_by(F.struct("restored", "written", "read", "strong", "changed"), F.struct("strong", "of", "restored", "common")).alias("b"))  # of equal results the commoner encoding
     keyed = counts.select("word").mapInArrow(_cores, "word string, own string")
     lossy = keyed.join(lost.hint("merge"), "own").join(mine.hint("merge"), "own", "left").where(far).select("word", F.lit(True).alias("lossy")).distinct()
     both = best.join(lossy.hint("merge"), "word", "full_outer")
