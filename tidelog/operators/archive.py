@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.session import new_path, ship
+from tidelog.sources import publish
 
 TARGET_BYTES = 4 << 20
 #: Bits of the flag byte of an encoded entry.
@@ -115,6 +116,7 @@ def pack(entries: DataFrame, tables: DataFrame, path: str, target: int = TARGET_
     place = spark.read.parquet(f"{path}/index").where("container is not null").select(F.col("id").alias("layer_id"), "part", "container")
     packed = stored.select("layer_id", "part", "data").join(place, ["layer_id", "part"])
     packed.groupBy("container").agg(F.expr("listagg(data, X'') within group (order by layer_id, part)").alias("payload")).write.parquet(f"{path}/containers")
+    publish.remove(spark, members)
     return Archive(spark, path)
 
 

@@ -61,9 +61,9 @@ def not_covered(source: DataFrame, ranges: DataFrame, block_bits: int = BLOCK_BI
     """
     block = F.shiftright("seq_no", block_bits)
     blocks = source.where("node_id is not null and seq_no is not null").select("node_id", block.alias("block")).distinct()
-    s, c = source.withColumn("_block", block).alias("s"), coverage(ranges, blocks, block_bits).alias("c")
-    on = (F.col("s.node_id") == F.col("c.node_id")) & (F.col("s._block") == F.col("c.block")) & F.col("s.seq_no").between(F.col("c.lo"), F.col("c.hi"))
-    return s.join(c, on, "left_anti").drop("_block")
+    s, c = source.withColumn("_tidelog_block", block).alias("s"), coverage(ranges, blocks, block_bits).alias("c")
+    on = (F.col("s.node_id") == F.col("c.node_id")) & (F.col("s._tidelog_block") == F.col("c.block")) & F.col("s.seq_no").between(F.col("c.lo"), F.col("c.hi"))
+    return s.join(c, on, "left_anti").drop("_tidelog_block")
 
 
 class IncrementalTarget:

@@ -138,14 +138,16 @@ def file_sizes(flushed: DataFrame, block_size: int = 8192, fp_rate: float = 0.01
     return data.select("layer_id", "entries", "blocks", "data_bytes", "index_bytes", size.cast("long").alias("file_size"))
 
 
-def locate(requests: DataFrame, index: DataFrame) -> DataFrame:
+def locate(requests: DataFrame, index: DataFrame, salts: int = 16) -> DataFrame:
     """The block of each requested (layer_id, key): the last one whose first key is not above it.
 
-    Requests and blocks are sorted together per layer, and each request takes the last block before
-    it: an as-of join with one shuffle. Requests below the first block have none.
+    Requests and blocks are sorted together, and each request takes the last block before it: an as-of
+    join with one shuffle. A layer with a large part of all requests is spread over ``salts`` tasks, each
+    with a copy of the layer's blocks, which are few beside its entries. Requests below the first
+    block, or of a layer without blocks, get nulls; repeated requests are answered each.
     """
-    marks = index.select("layer_id", F.col("first_key").alias("at"), F.struct("block", "first_key").alias("b"), F.lit(0).alias("ask"))
-    asks = requests.select("layer_id", F.col("key").alias("at"), F.lit(None).cast(marks.schema["b"].dataType).alias("b"), F.lit(1).alias("ask"))
-    order = Window.partitionBy("layer_id").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0)
+    marks = index.select("layer_id", F.col("first_key").alias("at"), F.struct("block", "first_key").alias("b"), F.lit(0).alias("ask"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    asks = requests.select("layer_id", F.col("key").alias("at"), F.lit(None).cast(marks.schema["b"].dataType).alias("b"), F.lit(1).alias("ask"), F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int").alias("salt"))
+    order = Window.partitionBy("layer_id", "salt").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0)
     found = marks.unionByName(asks).withColumn("b", F.last("b", ignorenulls=True).over(order)).where("ask = 1")
     return found.select("layer_id", F.col("at").alias("key"), F.col("b.block").alias("block"), F.col("b.first_key").alias("first_key"))

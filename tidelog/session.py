@@ -45,6 +45,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_written(spark: SparkSession) -> None:
+    """Remove everything written under the shared folder by this package; results read from it become invalid."""
+    fs, p = hadoop_path(spark, f"{shared_dir(spark).rstrip('/')}/tidelog")
+    fs.delete(p, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
