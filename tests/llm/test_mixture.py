@@ -71,6 +71,13 @@ def test_found_against_brute_force(spark, sf):
     assert sorted(r.source for r in queries.p8_found(spark, sf).collect()) == want
 
 
+def test_odd_target_rows(spark):
+    rows = [(i, "some text", "a") for i in range(10)] + [(99, "some text", "b")]
+    copies, report = mixture.mixture(docs(spark, rows), targets(spark, [("a", 0.5, 1), ("a", 0.5, 1), ("a", 0.2, 9), ("b", None, None)]))
+    assert sorted((r.source, r.weight, r.max_repeats, r.short) for r in report.collect()) == [("a", 0.5, 1, False), ("b", 0.0, 0, False)]
+    assert copies.count() == 11 and {r.copies for r in copies.where("source = 'b'").collect()} == {0}
+
+
 def test_empty(spark):
     t = targets(spark, [("a", 1.0, 1)])
     copies, report = mixture.mixture(docs(spark, []), t)

@@ -91,10 +91,12 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per source of ``targets``: documents, tokens, wanted tokens, repeats and whether it is short.
 
     ``sizes`` (source, tokens) counts only sources in ``targets``. A source without documents has 0
-    tokens; it is short unless its weight is 0. Repeated target rows count once.
+    tokens; it is short unless its weight is 0. Of several target rows of a source the one with the
+    greatest weight counts; a null weight or ``max_repeats`` is 0.
     """
     have = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"))
-    named = targets.where("source is not null").select("source", "weight", "max_repeats").distinct()
+    row = F.struct(F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"))
+    named = targets.where("source is not null").groupBy("source").agg(F.max(row).alias("t")).select("source", "t.weight", "t.max_repeats")
     each = named.join(have, "source", "left").na.fill(0, ["documents", "tokens"])
     total = have.agg(F.coalesce(F.sum("tokens"), F.lit(0).cast("long")).alias("t")).scalar()
     wanted = F.col("weight") * total
