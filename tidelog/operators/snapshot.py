@@ -62,8 +62,8 @@ def deleted(log: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:
     return latest(log, keys).where(F.col("op") == DEL)
 
 
-def as_of(log: DataFrame, seq_no: int) -> DataFrame:
-    """The live rows as they were right after mutation ``seq_no``."""
+def as_of(log: DataFrame, seq_no: int | Column) -> DataFrame:
+    """The live rows as they were right after mutation ``seq_no`` (a number or a scalar column)."""
     return live(log.where(F.col("seq_no") <= seq_no))
 
 

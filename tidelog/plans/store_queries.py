@@ -78,7 +78,8 @@ def multi_get(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snapshot_as_of_seq(spark: SparkSession, d: str) -> DataFrame:
-    return snapshot.as_of(changelog(spark, d), 500).select("key", "seq_no", "value")
+    half_way = changelog(spark, d).agg(F.floor(F.max("seq_no") / 2)).scalar()
+    return snapshot.as_of(changelog(spark, d), half_way).select("key", "seq_no", "value")
 
 
 def memory_size(spark: SparkSession, d: str) -> DataFrame:
@@ -342,7 +343,7 @@ ORACLE: dict[str, str] = {
     "point_get": f"WITH {LOG} SELECT key, seq_no, value FROM ({LAST.format('log')}) z WHERE rn = 1 AND op = 1 AND key = '7'",
     "multi_get": f"""WITH {LOG}, live AS (SELECT * FROM ({LAST.format('log')}) z WHERE rn = 1 AND op = 1)
  SELECT q.key, l.seq_no IS NOT NULL AS found, l.value, l.seq_no FROM (SELECT DISTINCT CAST(user_id * 2 AS VARCHAR) AS key FROM events) q LEFT JOIN live l ON q.key = l.key""",
-    "snapshot_as_of_seq": f"WITH {LOG} SELECT key, seq_no, value FROM ({LAST.format('log WHERE seq_no <= 500')}) z WHERE rn = 1 AND op = 1",
+    "snapshot_as_of_seq": f"WITH {LOG} SELECT key, seq_no, value FROM ({LAST.format('log WHERE seq_no <= (SELECT floor(max(seq_no) / 2) FROM log)')}) z WHERE rn = 1 AND op = 1",
     "memory_size": f"WITH {LOG} SELECT count(*) AS entries, CAST(sum(length(key) + coalesce(length(value), 0)) AS BIGINT) AS bytes FROM ({LAST.format('log')}) z WHERE rn = 1",
     "layer_flush": f"WITH {FLUSHED} SELECT layer_id, key, seq_no, op, value FROM flushed",
     "layer_manifest": f"""WITH {FLUSHED} SELECT layer_id, count(*) AS entries, min(key) AS min_key, max(key) AS max_key, min(seq_no) AS min_seq_no, max(seq_no) AS max_seq_no, CAST(sum({SIZE}) AS BIGINT) AS data_bytes

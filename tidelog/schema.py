@@ -154,5 +154,5 @@ class NodeConfig:
         return (Peer(self.node_id, self.listen_addr), *self.seed_nodes)
 
     def reachable_quorums(self) -> bool:
-        """Whether both quorums can be met by the nodes there are (the reference does not ask)."""
+        """Whether both quorums can be met by the nodes there are."""
         return max(self.write_quorum, self.read_quorum) <= min(self.replication_factor, len(self.members()))
