@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import chains
-from tidelog.session import ship, written
+from tidelog.session import partitions, ship, written
 
 #: Words the classifier is fitted on: the most frequent ones.
 TRAIN_WORDS = 4000
@@ -191,6 +191,7 @@ def garbled_words(counts: DataFrame, model: Classifier) -> DataFrame:
             rows = [(g, n) for g, c, n in rows if g != c and len(g) > 2 and not g.isascii()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["own", "n"])
 
+    counts = counts.repartition(partitions(spark), "word")  # few bytes, but much work per word
     known = written(counts.mapInArrow(count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "terms")
     tries = counts.select("word").mapInArrow(invert, "word string, own string, term string, restored string, written string, read string, strong boolean, changed int, common int")
     lost = counts.where(F.col("n") >= LEAST).mapInArrow(lose, "own string, n long").groupBy("own").agg(F.max("n").alias("of"))
@@ -229,7 +230,8 @@ def find(documents: DataFrame, train_words: int = TRAIN_WORDS) -> Garbled:
     parts = written(extract(documents), "words")
     each = parts.select("doc_id", F.explode("words").alias("word"))
     counts = written(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "counts")
-    model = train([(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(train_words).collect()])
+    frequent = written(counts.orderBy(F.desc("n"), "word").limit(train_words), "frequent")  # ranked by executors, not the driver
+    model = train([(r.word, r.n) for r in frequent.orderBy(F.desc("n"), "word").collect()])
     bad = written(garbled_words(counts, model), "garbled")
     held = each.join(bad, "word").groupBy("doc_id").agg(
         F.max("strong").alias("strong"), F.countDistinct("word").alias("different"), F.max("changed").alias("changed"), F.collect_set(F.struct("word", "restored", "written", "read", "strong")).alias("words")
