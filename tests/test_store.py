@@ -83,6 +83,35 @@ def test_stream_equals_batch_and_repeats_do_nothing(spark, tmp_path):
     assert stream.live().count() == 2
 
 
+def test_stream_merges_its_layers(spark):
+    import random
+
+    rnd, want, seq = random.Random(3), {}, 0
+    stream = StateStream(spark, new_path(spark, "stream"), trigger=3, fan_in=2)
+    for batch in range(7):
+        rows = []
+        for _ in range(20):
+            seq += 1
+            k, op = f"k{rnd.randrange(12)}", rnd.choice([1, 1, 2])
+            rows.append((k, seq, op, str(seq)))
+            want[k] = (seq, op)
+        stream.apply(spark.createDataFrame(rows, "key string, seq_no long, op int, value string"), batch)
+        assert len(stream.layers()) < 4
+        assert {r.key: (r.seq_no, r.op) for r in stream.state().collect()} == want
+
+
+def test_numbering_is_dense_and_ordered(spark):
+    import random
+
+    from tidelog.operators import snapshot
+
+    ords = random.Random(1).sample(range(10**6), 3000)
+    got = snapshot.numbered(spark.createDataFrame([(o, "x") for o in ords], "ord long, key string").repartition(7), 100).collect()
+    assert [r.ord for r in sorted(got, key=lambda r: r.seq_no)] == sorted(ords)
+    assert sorted(r.seq_no for r in got) == list(range(101, 3101))
+    assert snapshot.numbered(spark.createDataFrame([], "ord long, key string"), 0).count() == 0
+
+
 def test_maintenance_order():
     assert maintain(9, 1, 8) == ["flush"] and maintain(9, 0, 8) == ["compact"] and maintain(3, 0, 8) == []
 

@@ -157,7 +157,7 @@ def differing_hashes(a: DataFrame, b: DataFrame, keyed: Keyed, per_bucket: int =
         )
         pairs = written(pairs.where("na != nb or ca != cb"), "pairs")
         small = F.lit(m) <= F.col("na") + F.col("nb")
-        solved = written(polynomials(pairs.where(small), m), "polynomials")
+        solved = written(polynomials(pairs.where(small).repartition(partitions(a.sparkSession)), m), "polynomials")  # much work per row
         hits = [written(roots(s, solved, *names, seed), "roots") for s, names in zip(now, (("num", "den"), ("den", "num")))]
         known = pairs.select("bucket", "na", "nb", "ca", "cb")
         for r, k in zip(hits, "ab"):

@@ -46,8 +46,9 @@ class Store:
         if manifest.stalled(len(self.doc["tables"]), self.config.l0_stop_writes):
             raise WriteStall(f"{len(self.doc['tables'])} live tables")
         base = self.doc["last_seq_no"]
-        rows = snapshot.put(mutations.select("ord", "key", F.struct("op", "value").alias("value")), base)
-        rows = rows.select("seq_no", F.col("value.op").cast("tinyint").alias("op"), "key", F.when(F.col("value.op") != DEL, F.col("value.value")).otherwise(F.when(F.length("value.value") > 0, F.col("value.value"))).alias("value"))
+        rows = snapshot.numbered(mutations.select("ord", "op", "key", "value"), base)
+        empty = (F.col("op") == DEL) & (F.length("value") == 0)
+        rows = rows.select("seq_no", F.col("op").cast("tinyint").alias("op"), "key", F.when(~F.coalesce(empty, F.lit(False)), F.col("value")).alias("value"))
         folder = f"{self.path}/log-{uuid.uuid4().hex}"
         rows.write.parquet(folder)
         kept = self.spark.read.schema(MUTATION).parquet(folder)
