@@ -25,12 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster
-    known = getattr(spark, "_tidelog_dir", None)
-    if known is None:
-        if not spark.sparkContext.master.startswith("local["):
+    context = spark.sparkContext  # shared by all sessions
+    if not hasattr(context, "_tidelog_dir"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        known = spark._tidelog_dir = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-    return known
+        context._tidelog_dir = "file://" + tempfile.mkdtemp(prefix="tidelog-")
+    return context._tidelog_dir
 
 
 def new_path(spark: SparkSession, what: str) -> str:
@@ -63,12 +63,12 @@ def hadoop_path(spark: SparkSession, path: str):
 
 def ship(spark: SparkSession) -> SparkSession:
     """Make this package importable in Python workers, wherever the driver has it from."""
-    if not getattr(spark, "_tidelog_shipped", False):
+    if not hasattr(spark.sparkContext, "_tidelog_shipped"):
         root = Path(__file__).resolve().parent
         archive = Path(tempfile.mkdtemp(prefix="tidelog-code-")) / "tidelog.zip"
         with zipfile.ZipFile(archive, "w") as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent))
         spark.sparkContext.addPyFile(str(archive))
-        spark._tidelog_shipped = True
+        spark.sparkContext._tidelog_shipped = True
     return spark
