@@ -77,9 +77,9 @@ def sketches(hashes: DataFrame, m: int, seed: int) -> DataFrame:
             n = np.diff(np.append(starts, len(bucket)))
             now = [bucket[starts], n, check, evals]
             if held is not None and held[0][0] == now[0][0]:
-                now[1][0] += held[1][0]
-                now[2][0] += held[2][0]
-                now[3][0] = now[3][0] * held[3][0] % gf.P
+                now[1][:1] += held[1]
+                now[2][:1] += held[2]  # modulo 2^64
+                now[3][:1] = now[3][:1] * held[3] % gf.P
             elif held is not None:
                 yield from out(*held)
             held = [v[-1:].copy() for v in now]

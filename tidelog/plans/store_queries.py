@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import bloom, layers, manifest, quorum, ring, signed, snapshot, stats
 from tidelog.schema import Peer
-from tidelog.session import hadoop_path, new_path, table
+from tidelog.session import hadoop_path, new_path, table, written
 from tidelog.streaming.fold import StateStream
 
 RING = ring.Ring(tuple(Peer(f"node-{i}", f"127.0.0.1:1808{i}") for i in (1, 2, 3)), 32)
@@ -233,7 +233,7 @@ def bloom_hash(spark: SparkSession, d: str) -> DataFrame:
 
 def bloom_probe(spark: SparkSession, d: str) -> DataFrame:
     """What the layers' filters say about every key of the log and as many absent ones, in counts per layer."""
-    rows = flushed(spark, d)
+    rows = written(flushed(spark, d), "flushed")
     keys = changelog(spark, d).select("key").distinct()
     asked = keys.union(keys.select(F.concat("key", F.lit("-absent")))).distinct()
     per_layer = asked.withColumn("layer_id", F.explode(rows.agg(F.array_sort(F.collect_set("layer_id"))).scalar()))
@@ -265,7 +265,7 @@ def store_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def read_metrics(spark: SparkSession, d: str) -> DataFrame:
     keys = changelog(spark, d).select("key").distinct()
-    return stats.read_metrics(keys.union(keys.select(F.concat("key", F.lit("-absent")))), flushed(spark, d))
+    return stats.read_metrics(keys.union(keys.select(F.concat("key", F.lit("-absent")))), written(flushed(spark, d), "flushed"))
 
 
 def op_counts(spark: SparkSession, d: str) -> DataFrame:
