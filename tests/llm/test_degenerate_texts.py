@@ -17,3 +17,16 @@ def test_degenerate(spark, tmp_path, name, rows):
     assert len(got) == (rows if name == "p7_ids" else 0)
     if name == "p7_ids":
         assert all(r.ids == [] for r in got)
+
+
+def test_bytes_that_are_no_text(spark):
+    from pyspark.sql import functions as F
+
+    from tidelog.llm import mojibake, tokenize
+
+    rows = spark.createDataFrame([(1, b"plain \xff\xfe end"), (2, "fine é\n".encode()), (3, None)], "doc_id long, b binary")
+    docs = rows.select("doc_id", F.col("b").cast("string").alias("text"))
+    plain = tokenize.Encoder(tokenize.rank_file()).bpe
+    got = {r.doc_id: r.ids for r in tokenize.token_ids(docs).collect()}
+    assert got == {1: plain.encode_ordinary("plain \ufffd\ufffd end"), 2: plain.encode_ordinary("fine é\n"), 3: []}
+    assert [r.doc_id for r in mojibake.find(docs).documents.collect()] == [1]

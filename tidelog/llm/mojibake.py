@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import chains
+from tidelog.llm.tokenize import strings
 from tidelog.session import partitions, ship, written
 
 #: Words the classifier is fitted on: the most frequent ones.
@@ -73,12 +74,12 @@ def marks(text: str) -> int:
 
 
 def extract(documents: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """(id, words, marks) of each document; null and empty texts have none."""
+    """(id, words, marks) of each document; null and empty texts have none, bytes that are no UTF-8 are replacement characters."""
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in strings(batch.column(1))]
             found = pa.array([words(t) for t in texts], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), found, pa.array([0 if t.isascii() else marks(t) for t in texts], pa.int32())], names=[id_, "words", "marks"])
 
@@ -253,7 +254,7 @@ def restore(documents: DataFrame, garbled: Garbled) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, found in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, text, found in zip(batch.column(0).to_pylist(), strings(batch.column(1)), batch.column(2).to_pylist()):
                 found = found or []
                 swap = {w["word"]: w["restored"] for w in found if w["restored"] is not None}
                 votes = [(w["written"], w["read"]) for w in found if w["restored"] is not None]

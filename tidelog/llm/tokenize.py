@@ -43,6 +43,14 @@ def rank_file(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(f"{name}.tiktoken")
 
 
+def strings(texts: pa.Array) -> list[str | None]:
+    """The texts as Python strings; bytes that are no UTF-8 become replacement characters."""
+    try:
+        return texts.to_pylist()
+    except UnicodeDecodeError:
+        return [None if t is None else t.decode("utf-8", "replace") for t in texts.cast(pa.binary()).to_pylist()]
+
+
 def _after_nonspace(b: np.ndarray) -> np.ndarray:
     """Whether the character that ends at each byte is not white space, non-ASCII spaces included."""
     one = np.concatenate(([0], b[:-1]))
@@ -139,6 +147,10 @@ class Encoder:
         offsets = offsets - offsets[0]
         cuts = segments(np.frombuffer(data, np.uint8), offsets[:-1])
         raw = bytes(data)
+        try:
+            raw.decode()
+        except UnicodeDecodeError:  # a string column may hold any bytes
+            return self.encode(pa.array(strings(texts), pa.large_string()))
         ends = np.append(cuts[1:], len(raw))
         pieces = [raw[s:e] for s, e in zip(cuts.tolist(), ends.tolist())]
         if len(self.chunks) > MAX_CHUNKS or self.at > MAX_TOKENS:
@@ -165,7 +177,7 @@ def encoder(path: str) -> Encoder:
 def token_ids(documents: DataFrame, text: str = "text", id_: str = "doc_id", path: str | None = None) -> DataFrame:
     """(id, ids): the token ids of each row's text, without special tokens; one row per input row.
 
-    Null and empty texts give an empty list; blank texts are encoded as they are; repeated rows and
+    Bytes that are no UTF-8 count as replacement characters. Null and empty texts give an empty list; blank texts are encoded as they are; repeated rows and
     null ids stay as they are. ``path`` is the rank file of a byte-level BPE with the public pattern.
     """
     ship(documents.sparkSession)
