@@ -35,16 +35,26 @@ def test_any_order_and_any_number_of_deliveries(spark):
         assert got(signed.live_rows(log(spark, sent), chunk_bits=bits)) == fold(data)
 
 
+BASE = "node_id string, key binary, seq_no long, op tinyint, value binary"
+
+
 def test_base_and_late_repeats(spark):
-    base = [("a", b"x", 10, b"old"), ("a", b"y", 11, b"keep"), ("a", b"z", 12, b"gone")]
-    changes = [("a", 9, 1, b"x", b"late"), ("a", 10, 1, b"x", b"old"), ("a", 20, 1, b"x", b"new"), ("a", 21, 2, b"z", None), ("a", 3, 2, b"y", None)]
-    b = spark.createDataFrame(base, "node_id string, key binary, seq_no long, value binary")
+    base = [("a", b"x", 10, 1, b"old"), ("a", b"y", 11, 1, b"keep"), ("a", b"z", 12, 1, b"gone"), ("a", b"dead", 30, 2, None)]
+    changes = [("a", 9, 1, b"x", b"late"), ("a", 10, 1, b"x", b"old"), ("a", 20, 1, b"x", b"new"), ("a", 21, 2, b"z", None), ("a", 3, 2, b"y", None), ("a", 29, 1, b"dead", b"late")]
+    b = spark.createDataFrame(base, BASE)
     assert got(signed.live_rows(log(spark, changes), b)) == {("a", b"x", 20, b"new"), ("a", b"y", 11, b"keep")}
-    assert got(signed.live_rows(log(spark, []), b)) == set(base_row(base))
+    assert got(signed.live_rows(log(spark, []), b)) == {(n, k, s, v) for n, k, s, op, v in base if op == 1}
 
 
-def base_row(base):
-    return [(n, k, s, v) for n, k, s, v in base]
+def test_batches_of_late_changes_equal_one_fold(spark):
+    rnd = random.Random(8)
+    data = [("a", s, op := rnd.choice([1, 2]), b"k%d" % rnd.randrange(15), b"v%d" % s if op == 1 else None) for s in range(200)]
+    sent = data + data[:40]
+    rnd.shuffle(sent)
+    base = None
+    for i in range(0, 240, 80):
+        base = spark.createDataFrame(signed.state(log(spark, sent[i : i + 80]), base, 3).collect(), BASE)
+    assert got(base.where("op = 1")) == fold(data)
 
 
 def test_empty_value_is_live(spark):

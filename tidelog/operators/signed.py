@@ -47,18 +47,26 @@ def signed_images(changes: DataFrame) -> DataFrame:
     return steps.select("node_id", "key", F.explode(images).alias("i")).select("node_id", "key", "i.seq_no", "i.sign").where("seq_no is not null")
 
 
+def _all_changes(log: DataFrame, base: DataFrame | None, chunk_bits: int) -> DataFrame:
+    changes = chunk_changes(log.where(is_valid()).select("node_id", "key", "seq_no", "op"), chunk_bits)
+    if base is None:
+        return changes
+    none = F.lit(None).cast("long")
+    held = base.select(
+        "node_id", "key", none.alias("chunk"), F.when(F.col("op") == PUT, F.col("seq_no")).otherwise(none).alias("put"), F.when(F.col("op") == DEL, F.col("seq_no")).otherwise(none).alias("del")
+    )
+    return changes.unionByName(held)
+
+
 def live_images(log: DataFrame, base: DataFrame | None = None, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     """(node_id, key, seq_no) of the live rows: images whose multiplicities sum to more than zero.
 
-    ``base`` (node_id, key, seq_no) holds rows live before these changes; each has multiplicity +1,
-    and changes at or below its sequence number are late repeats without effect. Invalid records
-    are ignored; a null node_id is a node of its own; equal sequence numbers with both a put and a
-    delete of one key (which valid logs lack) count as deleted; an empty log gives the base.
+    ``base`` (node_id, key, seq_no, op, value) is the state before these changes, see ``state``: each put
+    has multiplicity +1, and a delete keeps older changes that arrive late from bringing a row back.
+    Invalid records are ignored; a null node_id is a node of its own; equal sequence numbers with both
+    a put and a delete of one key (which valid logs lack) count as deleted; an empty log gives the base.
     """
-    changes = chunk_changes(log.where(is_valid()).select("node_id", "key", "seq_no", "op"), chunk_bits)
-    if base is not None:
-        known = base.select("node_id", "key", F.lit(None).cast("long").alias("chunk"), F.col("seq_no").alias("put"), F.lit(None).cast("long").alias("del"))
-        changes = changes.unionByName(known)
+    changes = _all_changes(log, base, chunk_bits)
     return signed_images(changes).groupBy("node_id", "key", "seq_no").agg(F.sum("sign").alias("m")).where("m > 0").drop("m")
 
 
@@ -66,12 +74,20 @@ def live_rows(log: DataFrame, base: DataFrame | None = None, chunk_bits: int = C
     """The live rows with their values: (node_id, key, seq_no, value).
 
     The value comes from the valid deliveries of the image's (node_id, seq_no, key); they agree, and
-    of disagreeing ones the greatest counts. With a ``base``, its ``value`` serves for its own rows.
+    of disagreeing ones the greatest counts. The base's values serve for its own rows.
     """
     live = live_images(log, base, chunk_bits)
     source = log.where(is_valid() & (F.col("op") == PUT)).select("node_id", "key", "seq_no", "value")
     if base is not None:
-        source = source.unionByName(base.select("node_id", "key", "seq_no", "value"))
+        source = source.unionByName(base.where(F.col("op") == PUT).select("node_id", "key", "seq_no", "value"))
     l, s = live.alias("l"), source.alias("s")
     on = F.col("l.node_id").eqNullSafe(F.col("s.node_id")) & (F.col("l.seq_no") == F.col("s.seq_no")) & (F.col("l.key") == F.col("s.key"))
     return l.join(s, on).groupBy("l.node_id", "l.key", "l.seq_no").agg(F.max("s.value").alias("value"))
+
+
+def state(log: DataFrame, base: DataFrame | None = None, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    """The base for the next changes: live rows (op 1) and the last delete of every dead key (op 2)."""
+    live = live_rows(log, base, chunk_bits).select("node_id", "key", "seq_no", F.lit(PUT).cast("tinyint").alias("op"), "value")
+    last = _all_changes(log, base, chunk_bits).groupBy("node_id", "key").agg(F.max("put").alias("put"), F.max("del").alias("del"))
+    dead = last.where("del is not null and (put is null or put <= del)")
+    return live.unionByName(dead.select("node_id", "key", F.col("del").alias("seq_no"), F.lit(DEL).cast("tinyint").alias("op"), F.lit(None).cast("binary").alias("value")))

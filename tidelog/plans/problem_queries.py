@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.operators import archive, incremental, keyload, reconcile, seen, signed
-from tidelog.session import new_path, table
+from tidelog.session import new_path, table, written
 
 
 def as_hex(c: str) -> Column:
@@ -51,6 +51,15 @@ def p3_live(spark: SparkSession, d: str) -> DataFrame:
     return signed.live_rows(table(spark, d, "wal_record")).select("node_id", as_hex("key"), "seq_no", as_hex("value"))
 
 
+def p3_from_base(spark: SparkSession, d: str) -> DataFrame:
+    """The first half of the deliveries folded to a base, the other half applied to it."""
+    log = table(spark, d, "wal_record")
+    half = log.agg(F.floor(F.max("record_id") / 2)).scalar()
+    base = written(signed.state(log.where(F.col("record_id") <= half)), "base")
+    live = signed.live_rows(log.where(F.col("record_id") > half), base)
+    return live.select("node_id", as_hex("key"), "seq_no", as_hex("value"))
+
+
 def p4_target(spark: SparkSession, d: str) -> incremental.IncrementalTarget:
     taken = incremental.committed_ranges(table(spark, d, "manifest_table"), table(spark, d, "flush_run"))
     return incremental.IncrementalTarget(spark, new_path(spark, "target"), ["node_id", "seq_no"], ranges=taken)
@@ -104,7 +113,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_keys, p1_join, p2_found, p2_rate, p3_found, p3_live, p4_found, p4_rerun, p5_found, p5_entries, p5_index, p6_found)
+    f.__name__: f for f in (p1_found, p1_keys, p1_join, p2_found, p2_rate, p3_found, p3_live, p3_from_base, p4_found, p4_rerun, p5_found, p5_entries, p5_index, p6_found)
 }
 
 VALID = "seq_no IS NOT NULL AND op IN (1, 2) AND key IS NOT NULL AND octet_length(key) > 0 AND (op = 1 OR value IS NULL OR octet_length(value) = 0)"
@@ -129,6 +138,7 @@ ORACLE: dict[str, str] = {
  WHERE rn > 1 OR EXISTS (SELECT 1 FROM sst_entry s WHERE s.key = i.key)""",
     "p3_found": f"SELECT node_id, lower(hex(key)) AS key_hex, seq_no FROM ({LAST}) x",
     "p3_live": f"SELECT node_id, lower(hex(key)) AS key_hex, seq_no, lower(hex(value)) AS value_hex FROM ({LAST}) x",
+    "p3_from_base": f"SELECT node_id, lower(hex(key)) AS key_hex, seq_no, lower(hex(value)) AS value_hex FROM ({LAST}) x",
     "p4_found": f"SELECT DISTINCT node_id, seq_no {PENDING}",
     "p4_rerun": f"SELECT node_id, seq_no, op, lower(hex(key)) AS key_hex, lower(hex(max(value))) AS value_hex, 1 AS target_version {PENDING} GROUP BY node_id, seq_no, op, key",
     "p5_found": f"SELECT id FROM (SELECT id, file_size, row_number() OVER (PARTITION BY id ORDER BY epoch DESC) AS rn FROM manifest_table WHERE run_id IN ({COMMITTED})) z WHERE rn = 1 AND file_size < 16384",
