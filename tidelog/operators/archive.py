@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.session import new_path, ship
+from tidelog.session import new_path, partitions, ship
 from tidelog.sources import publish
 
 TARGET_BYTES = 4 << 20
@@ -96,6 +96,7 @@ def pack(entries: DataFrame, tables: DataFrame, path: str, target: int = TARGET_
     own = own.join(tables.select(F.col("id").alias("layer_id")), "layer_id", "left_semi").select("layer_id", "key", "seq_no", encoded_entry().alias("rec"))
     sizes = own.groupBy("layer_id").agg(F.ceil(F.sum(F.length("rec")) / target).cast("int").alias("parts"))
     parted = own.join(sizes, "layer_id").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    parted = parted.repartition(partitions(spark), "layer_id", "part")  # else the join's partitioning by layer would be kept, large layers and all
     data = parted.groupBy("layer_id", "part").agg(F.expr("listagg(rec, X'') within group (order by key, seq_no, rec)").alias("data"), F.count(F.lit(1)).alias("entries"))
     data.withColumns({"length": F.length("data").cast("long"), "crc": F.crc32("data")}).write.parquet(members)
     stored = spark.read.parquet(members)
