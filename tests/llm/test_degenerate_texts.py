@@ -14,7 +14,7 @@ def test_degenerate(spark, tmp_path, name, rows):
             f.nullable = True
         spark.createDataFrame([[None] * len(schema)] * rows, schema).write.parquet(f"{tmp_path}/{t}.parquet")
     got = q.QUERIES[name](spark, str(tmp_path)).collect()
-    assert len(got) == (rows if name == "p7_ids" else 0)
+    assert len(got) == {"p7_ids": rows, "p7_reuse": 1}.get(name, 0)
     if name == "p7_ids":
         assert all(r.ids == [] for r in got)
 

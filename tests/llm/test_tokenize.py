@@ -69,6 +69,12 @@ def test_spark(spark, name):
     assert tokenize.token_ids(df.limit(0), path=path).count() == 0
 
 
+def test_reuse_is_reported(spark):
+    df = spark.createDataFrame([(f"the same line\nagain the same\n{i % 3}\n",) for i in range(200)], "text string").coalesce(1)
+    r = tokenize.reuse(df).first()
+    assert r.texts == 200 and r.chunks > 500 and r.encoded < 20
+
+
 def test_against_the_other_library(spark, sf):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -14,6 +14,10 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.token_ids(table(spark, d, "documents"))
 
 
+def p7_reuse(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.reuse(table(spark, d, "documents"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     _, report = mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_target"))
     return report.where("short").select("source")
@@ -36,6 +40,6 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(documents, mojibake.find(documents))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_ids, p8_found, p8_mix, p8_shares, p9_found, p9_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_ids, p7_reuse, p8_found, p8_mix, p8_shares, p9_found, p9_restored)}
 #: Tokenizing has no SQL; these queries are tested against plain encoding and brute force.
 ORACLE: dict[str, str] = {}

@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidelog.session import ship
 
@@ -209,3 +210,21 @@ def token_counts(documents: DataFrame, keep: list[str], text: str = "text", path
 
     kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
     return documents.select(*keep, text).mapInArrow(run, f"{kinds}, tokens long")
+
+
+def reuse(documents: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """One row: texts, chunks met and chunks encoded when encoding the table; it depends on how workers share it."""
+    ship(documents.sparkSession)
+    path = path or rank_file()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tidelog.llm.tokenize import encoder
+
+        e = encoder(path)
+        for batch in batches:
+            seen, encoded = e.seen, e.encoded
+            e.encode(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (batch.num_rows, e.seen - seen, e.encoded - encoded)], names=["texts", "chunks", "encoded"])
+
+    each = documents.select(text).mapInArrow(run, "texts long, chunks long, encoded long")
+    return each.agg(*[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in ("texts", "chunks", "encoded")])
