@@ -1,6 +1,9 @@
 import random
 
+import pytest
+
 from tidelog.operators import seen
+from tidelog.schema import InvalidArgument
 from tidelog.session import new_path
 
 SCHEMA = "record_id long, key binary, extra string, h long"
@@ -42,6 +45,12 @@ def test_short_hashes_are_verified(spark):
     assert r.wrong == 0 and r.wrong_by_hash > 0 and r.hits == 1500
 
 
+def test_invalid_options(spark):
+    for options in ({"hash_bits": 12}, {"hash_bits": 65}, {"fanout": 1}):
+        with pytest.raises(InvalidArgument):
+            seen.SeenKeys(spark, new_path(spark, "t"), **options)
+
+
 def test_empty(spark):
     d = seen.seen_before(spark, spark.createDataFrame([], "key binary"), batch(spark, []), new_path(spark, "t"))
     assert ids(d) == []

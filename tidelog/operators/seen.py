@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.schema import InvalidArgument
 from tidelog.session import partitions, written
 from tidelog.sources import publish
 
@@ -38,6 +39,8 @@ class SeenKeys:
     """
 
     def __init__(self, spark: SparkSession, path: str, fanout: int = 4, hash_bits: int = 64, buckets: int | None = None):
+        if not BLOCK_BITS < hash_bits <= 64 or fanout < 2:
+            raise InvalidArgument(f"hash_bits {hash_bits}, fanout {fanout}")
         self.spark, self.path, self.fanout, self.hash_bits = spark, path, fanout, hash_bits
         version = publish.latest_version(spark, f"{path}/versions")
         state = publish.load(spark, f"{path}/versions", version) if version else {"runs": [], "buckets": buckets or partitions(spark)}
