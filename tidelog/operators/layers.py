@@ -78,7 +78,7 @@ def assign_rotations(log: DataFrame, max_bytes: int, shard: list[str] = []) -> D
     this is a sequential fold per shard by definition: each shard streams through one task, which
     holds at most ``max_bytes`` of keys. At scale prefer fixed ranges of seq_no as layers.
     """
-    spark = ship(log.sparkSession)
+    ship(log.sparkSession)
     names = log.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,7 +98,6 @@ def assign_rotations(log: DataFrame, max_bytes: int, shard: list[str] = []) -> D
 
     parted = (log.repartition(*shard) if shard else log.coalesce(1)).sortWithinPartitions(*shard, "seq_no")
     schema = ", ".join(f"`{n}` {log.schema[n].dataType.simpleString()}" for n in names)
-    del spark
     return parted.mapInPandas(run, schema + ", layer_no long")
 
 

@@ -39,6 +39,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_decided(spark, d).found
 
 
+def p2_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The same answers with the incoming records in four batches by arrival and runs merged in pairs."""
+    index = seen.SeenKeys(spark, new_path(spark, "seen"), fanout=2)
+    index.add(table(spark, d, "sst_entry"), level=2)
+    incoming = table(spark, d, "wal_incoming")
+    span = incoming.agg(F.min("record_id").alias("lo"), (F.max("record_id") + 1).alias("hi")).select(F.struct("lo", "hi")).scalar()
+    numbered = incoming.withColumn("batch", F.floor((F.col("record_id") - span["lo"]) * 4 / (span["hi"] - span["lo"])))
+    found = [index.process(numbered.where(F.col("batch") == i)).found for i in range(4)]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
+
+
 def p2_rate(spark: SparkSession, d: str) -> DataFrame:
     return seen.wrong_rate(p2_decided(spark, d), table(spark, d, "sst_entry"))
 
@@ -113,7 +124,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_keys, p1_join, p2_found, p2_rate, p3_found, p3_live, p3_from_base, p4_found, p4_rerun, p5_found, p5_entries, p5_index, p6_found)
+    f.__name__: f for f in (p1_found, p1_keys, p1_join, p2_found, p2_batches, p2_rate, p3_found, p3_live, p3_from_base, p4_found, p4_rerun, p5_found, p5_entries, p5_index, p6_found)
 }
 
 VALID = "seq_no IS NOT NULL AND op IN (1, 2) AND key IS NOT NULL AND octet_length(key) > 0 AND (op = 1 OR value IS NULL OR octet_length(value) = 0)"
@@ -152,3 +163,4 @@ ORACLE: dict[str, str] = {
  UNION ALL SELECT layer_id, key_hex, 'value' FROM j WHERE ina AND inb AND dv UNION ALL SELECT layer_id, key_hex, 'seq_no' FROM j WHERE ina AND inb AND ds
  UNION ALL SELECT layer_id, key_hex, 'tombstone' FROM j WHERE ina AND inb AND dt""",
 }
+ORACLE["p2_batches"] = ORACLE["p2_found"]
