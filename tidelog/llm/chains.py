@@ -75,6 +75,17 @@ def inverses(text: str, chain: tuple[str, str]) -> list[str]:
     return out
 
 
+def unwound(text: str, chain: tuple[str, str], depth: int) -> str | None:
+    """The strict inverse taken ``depth`` times: by the chain, then by UTF-8 read in a Latin encoding."""
+    now: str | None = text
+    for d in range(depth):
+        tries = [chain] if d == 0 else [("utf-8", r) for r in AGAIN]
+        now = next((o for c in tries if (o := ungarble(now, c)) is not None and o != now), None)
+        if now is None:
+            return None
+    return unicodedata.normalize("NFC", now)
+
+
 def _cased(text: str, change) -> str:
     return "".join(d if len(d := change(c)) == 1 and c > "\x7f" and ord(d) < 256 else c for c in text)
 

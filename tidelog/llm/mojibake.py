@@ -246,8 +246,10 @@ def find(documents: DataFrame, train_words: int = TRAIN_WORDS) -> Garbled:
 def restore(documents: DataFrame, garbled: Garbled) -> DataFrame:
     """(doc_id, restored, written, read, complete) of the found documents.
 
-    ``restored`` is the text with every garbled word replaced by its strict inverse; ``written`` and
-    ``read`` name the document's most frequent chain; ``complete`` says that nothing garbled was left.
+    ``written`` and ``read`` name the chain that explains most of the document's garbled words. Lines
+    with such words, and all lines if most words beyond ASCII are garbled, are inverted strictly by it;
+    where a line does not invert, its words do one by one. ``complete`` says that nothing known to be
+    garbled was left.
     """
     ship(documents.sparkSession)
 
@@ -257,10 +259,7 @@ def restore(documents: DataFrame, garbled: Garbled) -> DataFrame:
             for doc, text, found in zip(batch.column(0).to_pylist(), strings(batch.column(1)), batch.column(2).to_pylist()):
                 found = found or []
                 swap = {w["word"]: w["restored"] for w in found if w["restored"] is not None}
-                votes = [(w["written"], w["read"]) for w in found if w["restored"] is not None]
-                chain = max(sorted(set(votes)), key=votes.count) if votes else (None, None)
-                pieces = re.split(f"({_SPLIT.pattern})", normal(text or ""))
-                out = "".join(p if p.isascii() else _swapped(p, swap) for p in pieces)
+                out, chain = restored(normal(text or ""), swap, {(w["written"], w["read"]) for w in found if w["restored"] is not None})
                 rows.append((doc, out, *chain, len(swap) == len(found) and not marks(out)))
             kinds = [batch.schema.field(0).type, pa.string(), pa.string(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 5, kinds)], names=["doc_id", "restored", "written", "read", "complete"])
@@ -269,6 +268,26 @@ def restore(documents: DataFrame, garbled: Garbled) -> DataFrame:
     return joined.mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, restored string, written string, read string, complete boolean")
 
 
-def _swapped(piece: str, swap: dict[str, str]) -> str:
-    w = piece.strip(ASCII_EDGE)
-    return piece.replace(w, swap[w], 1) if w in swap else piece
+def restored(text: str, swap: dict[str, str], tried: set[tuple[str, str]]) -> tuple[str, tuple[str | None, str | None]]:
+    """(the text with its garbled words and lines inverted, the chain that explains most of ``swap``)."""
+    if not swap:
+        return text, (None, None)
+    options = [(sum(chains.unwound(w, c, d) == o for w, o in swap.items()), -d, -chains.CHAINS.index(c), c) for c in tried for d in range(1, chains.DEPTH + 1 if c[0] == "utf-8" else 2)]
+    _, less, _, chain = max(options)
+    whole = 2 * len(swap) > len(words(text))
+
+    def line(s: str) -> str:
+        own = [] if s.isascii() else [w for w in words(s) if w in swap]
+        if s.isascii() or not (own or whole):
+            return s
+        o = chains.unwound(s, chain, -less)
+        if o is not None and all(swap[w] in o for w in own):
+            return o
+        return "".join(p if p.isascii() else piece(p) for p in re.split(f"({_SPLIT.pattern})", s))
+
+    def piece(p: str) -> str:
+        w = p.strip(ASCII_EDGE)
+        o = swap.get(w) or (chains.unwound(w, chain, -less) if whole else None)
+        return p if o is None else p.replace(w, o, 1)
+
+    return "\n".join(line(s) for s in text.split("\n")), chain
