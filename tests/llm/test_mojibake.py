@@ -102,3 +102,18 @@ def test_long_texts_and_repeats(spark):
     long = " ".join(t for _, _, t in base)
     rows = base + [(1000, "", long), (1001, "", long + " Ã©tÃ© cafÃ©"), (1001, "", "again")]
     assert found(spark, rows)[0] == {1001}
+
+
+def test_copies_of_a_garbled_text_bring_no_votes_for_it(spark):
+    text = "la forÃªt et le chÃ¢teau dÃ©jÃ  ici"
+    rows = corpus(300) + [(5000 + i, "fr", text + "\r" * (i % 2)) for i in range(150)] + [(6000, "fr", "une forÃªt")]
+    assert found(spark, rows)[0] == {*range(5000, 5150), 6000}
+
+
+def test_long_inverses_stand_by_themselves(spark):
+    # no word of these occurs anywhere else, and the copies differ
+    rare = chains.garble("восторг небывалый", ("utf-8", "cp1252"))
+    rows = corpus(300) + [(5000 + i, "ru", f"{i} {rare}") for i in range(40)]
+    rows += [(6000, "cs", "ÄŒtvrtohornÃ\xad"), (6001, "ru", "Этого слова нет, уйдите раз"), (6002, "ja", "ｶﾀｶﾅ")]
+    got = found(spark, rows)[0]
+    assert got == {*range(5000, 5040), 6000}

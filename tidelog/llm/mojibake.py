@@ -3,12 +3,14 @@
 The units are words with characters beyond ASCII. A multinomial classifier on hashed byte bigrams,
 trained on frequent words of the corpus that are garbled synthetically through every encoding chain,
 ranks the chains of each distinct word. The likeliest chains are inverted; an inverse counts only if
-it decodes strictly and gives a word that the whole corpus has far more often than the garbled one.
+it decodes strictly and gives a word that the whole corpus has far more often than the garbled one,
+or if it is evident: several multi-byte sequences that give ordinary characters (see ``evident``).
 Words whose inverse is lost (control characters or case dropped after the decoding) are recognised
 by doing the same loss to the corpus's words. Replacement characters, stray control characters and
 garbled byte order marks need no classifier.
 
-Only distinct words are classified. Counts are over all documents; the classifier alone is fitted on
+Only distinct words are classified. Counts are over distinct texts, so that copies of a garbled text
+bring no votes for it; the classifier alone is fitted on
 a bounded number of words (TRAIN_WORDS). Nothing is collected but those words.
 """
 
@@ -37,6 +39,11 @@ TRIED, SLACK = 64, 12.0
 #: An inverse must be so many times as frequent as the word, and at least so frequent.
 RATIO, LEAST = 5, 3
 
+#: An evident inverse: so many characters beyond ASCII are bytes, and so close to the likeliest chain.
+EVIDENT, CLOSE = 4, 3.0
+_SCRIPTS = ("LATIN", "GREEK", "CYRILLIC")
+_TYPOGRAPHY = frozenset("“”„‘’‚«»‹›…–—•€£¥§©®™°№♪♫´¿¡\xa0、。！？（）［］「」・〜～ー")
+
 _SPLIT = re.compile(r"[ \t\r\n\f\v<>{}]+")
 _NON_WORD = re.compile(r"[\W_]+")
 _CONTROL = re.compile("[\x80-\x9f]")
@@ -68,22 +75,57 @@ def terms(word: str) -> list[str]:
     return list(dict.fromkeys((c, *(t for t in _NON_WORD.split(c) if not t.isascii()))))
 
 
+def plausible(text: str) -> bool:
+    """Whether the characters beyond ASCII are letters of one common script, usual punctuation or emoji."""
+    scripts = set()
+    for c in text:
+        if c.isalpha():
+            scripts.add(unicodedata.name(c, "?").split(" ")[0].split("-")[0])
+            if c in "ªº" or "ƀ" <= c <= "ɏ" and c not in "ȘșȚț" or "ɐ" <= c <= "ʯ" or c > "ѿ" and c not in "Ґґ" and not "Ḁ" <= c <= "ỿ" and not "぀" <= c <= "鿿":
+                return False
+        elif not (c < "\x7f" or c in _TYPOGRAPHY or "☀" <= c <= "➿" or c == "\ufe0f" or "\U0001f000" <= c <= "\U0001faff"):
+            return False
+    if "CJK" in scripts or "HIRAGANA" in scripts or "KATAKANA" in scripts:
+        return bool(scripts & {"HIRAGANA", "KATAKANA"}) and scripts <= {"CJK", "HIRAGANA", "KATAKANA"}
+    return not scripts or len(scripts) == 1 and scripts <= set(_SCRIPTS)
+
+
+def final(inverse: str) -> bool:
+    """Whether ``inverse`` is plausible and not garbled once more."""
+    return plausible(inverse) and not any((o := chains.ungarble(inverse, ("utf-8", r))) is not None and o != inverse and plausible(o) for r in chains.AGAIN)
+
+
+def evident(word: str, inverse: str, chain: tuple[str, str]) -> bool:
+    """Whether ``word`` is shown garbled by its own bytes, however often it or ``inverse`` occurs.
+
+    That is so if at least EVIDENT characters are the bytes of multi-byte sequences and give ordinary
+    characters. Repeated garbling counts by its last step.
+    """
+    if chain[0] not in chains.MULTIBYTE or sum(c > "\x7f" for c in word) < EVIDENT:
+        return False
+    return plausible(inverse) and not inverse.isascii() and (chain[0] == "utf-8" or len(inverse) > 2 and not inverse.isupper())
+
+
 def marks(text: str) -> int:
     """1 for a replacement character, 2 for a control character, 4 for a garbled byte order mark."""
     return ("�" in text) + 2 * bool(_CONTROL.search(text)) + 4 * text.startswith(chains.MARKS)
 
 
 def extract(documents: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """(id, words, marks) of each document; null and empty texts have none, bytes that are no UTF-8 are replacement characters."""
+    """(id, words, marks, text_hash) of each document; null and empty texts have none, bytes that are no UTF-8 are replacement characters.
+
+    ``text_hash`` is the same for equal texts, whatever their line ends.
+    """
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in strings(batch.column(1))]
             found = pa.array([words(t) for t in texts], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), found, pa.array([0 if t.isascii() else marks(t) for t in texts], pa.int32())], names=[id_, "words", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), found, pa.array([0 if t.isascii() else marks(t) for t in texts], pa.int32()), batch.column(2)], names=[id_, "words", "marks", "text_hash"])
 
-    return documents.select(id_, text).mapInArrow(run, f"`{id_}` {documents.schema[id_].dataType.simpleString()}, words array<string>, marks int")
+    hashed = documents.select(id_, text, F.xxhash64(F.regexp_replace(text, "\r", "")).alias("text_hash"))
+    return hashed.mapInArrow(run, f"`{id_}` {documents.schema[id_].dataType.simpleString()}, words array<string>, marks int, text_hash long")
 
 
 def bigrams(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,14 +162,16 @@ class Classifier:
 
     def ranked(self, items: list[str]) -> list[list[tuple[str, str]]]:
         """Chains worth inverting per item, likeliest first; none where clean is far likelier."""
-        s = self.scores(items)
+        return self.rank(self.scores(items))
+
+    def rank(self, s: np.ndarray) -> list[list[tuple[str, str]]]:
         top = np.argsort(-s[:, :-1], axis=1)[:, :TRIED]
         near = np.take_along_axis(s, top, axis=1) >= s[:, -1:] - SLACK
         return [[self.chains[k] for k, ok in zip(row, fine) if ok] for row, fine in zip(top.tolist(), near.tolist())]
 
 
 def train(counted: list[tuple[str, int]]) -> Classifier:
-    """Fit on (word, count) pairs taken as clean, after dropping words that are garbled forms of others."""
+    """Fit on (word, count) pairs taken as clean, after dropping words that are garbled forms of others or evidently garbled."""
     count: dict[str, int] = {}
     for w, n in counted:
         count[core(w)] = count.get(core(w), 0) + n
@@ -143,7 +187,7 @@ def train(counted: list[tuple[str, int]]) -> Classifier:
             forms[-1][1].append(n)
             if len(w) > 1 and 0 < count.get(core(g), 0) * RATIO <= n:
                 garbled.add(core(g))
-    clean = [(w, n) for w, n in counted if core(w) not in garbled]
+    clean = [(w, n) for w, n in counted if core(w) not in garbled and not any(c[0] == "utf-8" and (o := chains.ungarble(w, c)) is not None and evident(w, o, c) for c in chains.CHAINS)]
     forms.append(([w for w, _ in clean], [n for _, n in clean]))
     table = np.zeros((len(forms), 1 << HASH_BITS), np.float32)
     for k, (items, weight) in enumerate(forms):
@@ -170,21 +214,25 @@ def garbled_words(counts: DataFrame, model: Classifier) -> DataFrame:
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items, rows = batch.column(0).to_pylist(), []
-            for w, tried in zip(items, table.value.ranked(items)):
+            scores = table.value.scores(items)
+            for w, score, tried in zip(items, scores, table.value.rank(scores)):
                 own = terms(w)
+                close = max(score[-1], score[:-1].max() - CLOSE)
                 for chain in tried:
                     for o in chains.inverses(w, chain):
                         if chain[0] != "utf-8" and _CONTROL.search(o):
                             continue
                         changed = sum(c > "\x7f" for c in w)
                         strong = chain[0] in chains.MULTIBYTE and changed > 1
+                        if score[chains.CHAINS.index(chain)] >= close and evident(w, o, chain):
+                            rows.append((w, own[0], None, o, *chain, True, changed, -chains.CHAINS.index(chain), final(o)))
                         # single-byte encodings turn letters into other letters: there only the whole word is evidence
                         for t in terms(o) if strong else terms(o)[:1]:
                             if t not in own and (len(t) > 1 or chain[0] == "utf-8" and strong):
-                                rows.append((w, own[0], t, o, *chain, strong, changed, -chains.CHAINS.index(chain)))
-            cols = list(zip(*rows)) or [[]] * 9
-            kinds = [pa.string()] * 6 + [pa.bool_(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["word", "own", "term", "restored", "written", "read", "strong", "changed", "common"])
+                                rows.append((w, own[0], t, o, *chain, strong, changed, -chains.CHAINS.index(chain), final(o)))
+            cols = list(zip(*rows)) or [[]] * 10
+            kinds = [pa.string()] * 6 + [pa.bool_(), pa.int32(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["word", "own", "term", "restored", "written", "read", "strong", "changed", "common", "final"])
 
     def lose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,13 +242,17 @@ def garbled_words(counts: DataFrame, model: Classifier) -> DataFrame:
 
     counts = counts.repartition(partitions(spark), "word")  # few bytes, but much work per word
     known = written(counts.mapInArrow(count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "terms")
-    tries = counts.select("word").mapInArrow(invert, "word string, own string, term string, restored string, written string, read string, strong boolean, changed int, common int")
+    tries = counts.select("word").mapInArrow(invert, "word string, own string, term string, restored string, written string, read string, strong boolean, changed int, common int, final boolean")
     lost = counts.where(F.col("n") >= LEAST).mapInArrow(lose, "own string, n long").groupBy("own").agg(F.max("n").alias("of"))
     far = F.col("of") >= F.greatest(F.lit(LEAST), RATIO * F.coalesce("mine", F.lit(0)))
     mine = known.select(F.col("term").alias("own"), F.col("n").alias("mine"))
     # sizes of what Python produces are guessed low: merge joins, so that none of it is broadcast
-    inverted = tries.join(known.select("term", F.col("n").alias("of")).hint("merge"), "term").join(mine.hint("merge"), "own", "left").where(far)
-    best = inverted.groupBy("word").agg(F.max_by(F.struct("restored", "written", "read", "strong", "changed"), F.struct("strong", "of", "restored", "common")).alias("b"))  # of equal results the commoner encoding
+    tries = written(tries, "tries")
+    voted = tries.join(known.select("term", F.col("n").alias("of")).hint("merge"), "term").join(mine.hint("merge"), "own", "left").where(far)
+    alone = tries.where("term is null").withColumn("of", F.lit(0))  # evident ones need no votes; votes still choose between inverses
+    picked = ("word", "restored", "written", "read", "strong", "changed", "common", "final", "of")
+    inverted = voted.select(*picked).unionByName(alone.select(*picked))
+    best = inverted.groupBy("word").agg(F.max_by(F.struct("restored", "written", "read", "strong", "changed"), F.struct("strong", "final", "of", "restored", "common")).alias("b"))  # of equal results the commoner encoding
     keyed = counts.select("word").mapInArrow(_cores, "word string, own string")
     lossy = keyed.join(lost.hint("merge"), "own").join(mine.hint("merge"), "own", "left").where(far).select("word", F.lit(True).alias("lossy")).distinct()
     both = best.join(lossy.hint("merge"), "word", "full_outer")
@@ -230,7 +282,8 @@ def find(documents: DataFrame, train_words: int = TRAIN_WORDS) -> Garbled:
     """
     parts = written(extract(documents), "words")
     each = parts.select("doc_id", F.explode("words").alias("word"))
-    counts = written(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "counts")
+    once = parts.where(F.size("words") > 0).groupBy("text_hash").agg(F.first("words").alias("words"))
+    counts = written(once.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "counts")
     frequent = written(counts.orderBy(F.desc("n"), "word").limit(train_words), "frequent")  # ranked by executors, not the driver
     model = train([(r.word, r.n) for r in frequent.orderBy(F.desc("n"), "word").collect()])
     bad = written(garbled_words(counts, model), "garbled")
