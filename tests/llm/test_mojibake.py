@@ -117,3 +117,13 @@ def test_long_inverses_stand_by_themselves(spark):
     rows += [(6000, "cs", "ÄŒtvrtohornÃ\xad"), (6001, "ru", "Этого слова нет, уйдите раз"), (6002, "ja", "ｶﾀｶﾅ")]
     got = found(spark, rows)[0]
     assert got == {*range(5000, 5040), 6000}
+
+
+def test_sparse_garbled_words_are_found(spark):
+    single = ["IimpiÃ³", "V0cÃª", "vcrkÃ¤uft", "tuviÃ©rarn0s", "lâ€™Ã©glisc", "AtcnÃ§Ã£", "LÃ¶ffcI", "Ãœbcrsetzt", "irmÃ£"]
+    rows = corpus(600) + [(7000 + i, "", f"{w} here") for i, w in enumerate(single)]
+    # à and lá are counted, and so are their halves ã and lã
+    rows += [(8000 + i, "", f"{i} {w}") for i, w in enumerate(["à là lá Übersetzt"] * 80 + ["ã lã"] * 20)] + [(9000, "", "lÃ¡"), (9001, "", "Ã\xa0 noite")]
+    clean = ["LÃ®", "IRMÃ…", "irmÃ…", "MAÇÃ™", "“IRMÃ»", "CAFÉ…", "l’égIise", "раз", "Běž", "NEMŮŽU", "KLÍČ", "ÂŞIK", "KOLACJĘ…", "там", "уйди", "«É»"]
+    rows += [(10_000 + i, "", f"{w} here") for i, w in enumerate(clean)]
+    assert found(spark, rows)[0] == {*range(7000, 7000 + len(single)), 9000, 9001}

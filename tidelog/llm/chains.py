@@ -35,6 +35,12 @@ def read_bytes(data: bytes, encoding: str) -> str | None:
     return data.decode("latin-1").translate(_reading(encoding)[0])
 
 
+def sequence(char: str, read: str) -> int:
+    """How many bytes the UTF-8 sequence has whose first byte ``char`` stands for, 0 if it stands for none."""
+    b = 0 if read == "cp932" else _reading(read)[1].get(char, 0)
+    return 0 if not 0xC2 <= b <= 0xF4 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
+
+
 def garble(text: str, chain: tuple[str, str]) -> str | None:
     """``text`` through the chain, or None if the chain cannot carry it."""
     try:

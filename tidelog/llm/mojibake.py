@@ -4,7 +4,7 @@ The units are words with characters beyond ASCII. A multinomial classifier on ha
 trained on frequent words of the corpus that are garbled synthetically through every encoding chain,
 ranks the chains of each distinct word. The likeliest chains are inverted; an inverse counts only if
 it decodes strictly and gives a word that the whole corpus has far more often than the garbled one,
-or if it is evident: several multi-byte sequences that give ordinary characters (see ``evident``).
+or if it is evident: multi-byte sequences that give ordinary characters (see ``evident``).
 Words whose inverse is lost (control characters or case dropped after the decoding) are recognised
 by doing the same loss to the corpus's words. Replacement characters, stray control characters and
 garbled byte order marks need no classifier.
@@ -39,8 +39,10 @@ TRIED, SLACK = 64, 12.0
 #: An inverse must be so many times as frequent as the word, and at least so frequent.
 RATIO, LEAST = 5, 3
 
-#: An evident inverse: so many characters beyond ASCII are bytes, and so close to the likeliest chain.
-EVIDENT, CLOSE = 4, 3.0
+#: An evident inverse: so many characters beyond ASCII are bytes, or so far likelier than clean.
+EVIDENT, SURE = 4, 12.0
+#: How close to the likeliest chain it must score.
+CLOSE = 3.0
 _SCRIPTS = ("LATIN", "GREEK", "CYRILLIC")
 _TYPOGRAPHY = frozenset("“”„‘’‚«»‹›…–—•€£¥§©®™°№♪♫´¿¡\xa0、。！？（）［］「」・〜～ー")
 
@@ -75,6 +77,14 @@ def terms(word: str) -> list[str]:
     return list(dict.fromkeys((c, *(t for t in _NON_WORD.split(c) if not t.isascii()))))
 
 
+def owned(word: str, chain: tuple[str, str]) -> list[str]:
+    """The terms under which ``word`` itself is counted: the whole word where a byte of it is punctuation at its edge."""
+    bare = word.strip(EDGE)
+    if chain[0] in chains.MULTIBYTE and bare != word and not chains.inverses(bare, chain):
+        return [word.lower()]
+    return terms(word)
+
+
 def plausible(text: str) -> bool:
     """Whether the characters beyond ASCII are letters of one common script, usual punctuation or emoji."""
     scripts = set()
@@ -95,15 +105,43 @@ def final(inverse: str) -> bool:
     return plausible(inverse) and not any((o := chains.ungarble(inverse, ("utf-8", r))) is not None and o != inverse and plausible(o) for r in chains.AGAIN)
 
 
-def evident(word: str, inverse: str, chain: tuple[str, str]) -> bool:
+def evident(word: str, inverse: str, chain: tuple[str, str], margin: float = 0.0) -> bool:
     """Whether ``word`` is shown garbled by its own bytes, however often it or ``inverse`` occurs.
 
-    That is so if at least EVIDENT characters are the bytes of multi-byte sequences and give ordinary
-    characters. Repeated garbling counts by its last step.
+    That is so if the bytes of its multi-byte sequences give ordinary characters, and either there are
+    EVIDENT of them, or the chain is likelier than clean by ``margin`` of SURE, or a sequence
+    stands where no spelling has its characters. Repeated garbling counts by its last step.
+    """
+    changed = sum(c > "\x7f" for c in word)
+    if chain[0] not in chains.MULTIBYTE or changed < 2 or inverse.isascii() or not plausible(inverse):
+        return False
+    if changed >= EVIDENT and margin >= 0:
+        return chain[0] == "utf-8" or len(inverse) > 2 and not inverse.isupper()
+    return chain[0] == "utf-8" and (margin >= SURE or unspelt(word, inverse, chain))
+
+
+def unspelt(word: str, inverse: str, chain: tuple[str, str]) -> bool:
+    """Whether the characters of a UTF-8 sequence in ``word`` stand as in no spelling.
+
+    A capital after a small letter, a symbol after a letter and before another, a small letter beyond
+    ASCII between a capital beyond it and a small letter, a mathematical or box character beside letters.
     """
-    if chain[0] not in chains.MULTIBYTE or sum(c > "\x7f" for c in word) < EVIDENT:
+    if chains.ungarble(word, chain) is None or any(a.islower() and b.isupper() and b > "\x7f" for a, b in zip(inverse, inverse[1:])):
         return False
-    return plausible(inverse) and not inverse.isascii() and (chain[0] == "utf-8" or len(inverse) > 2 and not inverse.isupper())
+    for i, c in enumerate(word):
+        n = chains.sequence(c, chain[1])
+        if not n:
+            continue
+        before, rest, after = word[i - 1 : i], word[i + 1 : i + n], word[i + n : i + n + 1]
+        if c.isupper() and before.islower():
+            return True
+        if c.isalpha() and after.isalpha() and any(unicodedata.category(r) in ("Sc", "Sk", "Sm", "So", "Po", "No", "Cf") and r not in "…·" for r in rest):
+            return True
+        if c.isupper() and rest[:1].islower() and after.islower():
+            return True
+        if unicodedata.category(c) in ("Sm", "So") and (before.isalpha() or after.isalpha()):
+            return True
+    return False
 
 
 def marks(text: str) -> int:
@@ -208,7 +246,7 @@ def garbled_words(counts: DataFrame, model: Classifier) -> DataFrame:
 
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(t, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for t in terms(w)]
+            rows = [(t, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for t in dict.fromkeys((*terms(w), w.lower()))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["term", "n"])
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,15 +254,16 @@ def garbled_words(counts: DataFrame, model: Classifier) -> DataFrame:
             items, rows = batch.column(0).to_pylist(), []
             scores = table.value.scores(items)
             for w, score, tried in zip(items, scores, table.value.rank(scores)):
-                own = terms(w)
-                close = max(score[-1], score[:-1].max() - CLOSE)
+                close = score[:-1].max() - CLOSE
                 for chain in tried:
                     for o in chains.inverses(w, chain):
                         if chain[0] != "utf-8" and _CONTROL.search(o):
                             continue
                         changed = sum(c > "\x7f" for c in w)
                         strong = chain[0] in chains.MULTIBYTE and changed > 1
-                        if score[chains.CHAINS.index(chain)] >= close and evident(w, o, chain):
+                        own = owned(w, chain)
+                        likely = score[chains.CHAINS.index(chain)]
+                        if likely >= close and evident(w, o, chain, likely - score[-1]):
                             rows.append((w, own[0], None, o, *chain, True, changed, -chains.CHAINS.index(chain), final(o)))
                         # single-byte encodings turn letters into other letters: there only the whole word is evidence
                         for t in terms(o) if strong else terms(o)[:1]:
