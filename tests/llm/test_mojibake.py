@@ -127,3 +127,9 @@ def test_sparse_garbled_words_are_found(spark):
     clean = ["LÃ®", "IRMÃ…", "irmÃ…", "MAÇÃ™", "“IRMÃ»", "CAFÉ…", "l’égIise", "раз", "Běž", "NEMŮŽU", "KLÍČ", "ÂŞIK", "KOLACJĘ…", "там", "уйди", "«É»"]
     rows += [(10_000 + i, "", f"{w} here") for i, w in enumerate(clean)]
     assert found(spark, rows)[0] == {*range(7000, 7000 + len(single)), 9000, 9001}
+
+
+def test_a_lone_legacy_word_is_found(spark):
+    lone = chains.garble("večeři", ("cp1250", "cp1252"))
+    assert sum(c > "\x7f" for c in lone) == 2
+    assert found(spark, corpus(600) + [(7000, "cs", f"{lone} here")])[0] == {7000}

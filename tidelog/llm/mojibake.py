@@ -236,10 +236,11 @@ def train(counted: list[tuple[str, int]]) -> Classifier:
 
 
 def garbled_words(counts: DataFrame, model: Classifier) -> DataFrame:
-    """(word, restored, written, read, strong, changed) of the distinct ``counts`` (word, n) found garbled.
+    """(word, restored, written, read, strong, changed, sure) of the distinct ``counts`` (word, n) found garbled.
 
     ``restored`` is null where only a lossy form was recognised. ``strong`` words stand for
-    themselves: their characters are the bytes of multi-byte sequences.
+    themselves: their characters are the bytes of multi-byte sequences. ``sure`` ones have a chain
+    that the classifier finds likelier than clean.
     """
     spark = counts.sparkSession
     table = spark.sparkContext.broadcast(model)  # a fixed number of classes and hash buckets
@@ -264,14 +265,14 @@ def garbled_words(counts: DataFrame, model: Classifier) -> DataFrame:
                         own = owned(w, chain)
                         likely = score[chains.CHAINS.index(chain)]
                         if likely >= close and evident(w, o, chain, likely - score[-1]):
-                            rows.append((w, own[0], None, o, *chain, True, changed, -chains.CHAINS.index(chain), final(o)))
+                            rows.append((w, own[0], None, o, *chain, True, changed, -chains.CHAINS.index(chain), final(o), bool(likely >= score[-1])))
                         # single-byte encodings turn letters into other letters: there only the whole word is evidence
                         for t in terms(o) if strong else terms(o)[:1]:
                             if t not in own and (len(t) > 1 or chain[0] == "utf-8" and strong):
-                                rows.append((w, own[0], t, o, *chain, strong, changed, -chains.CHAINS.index(chain), final(o)))
-            cols = list(zip(*rows)) or [[]] * 10
-            kinds = [pa.string()] * 6 + [pa.bool_(), pa.int32(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["word", "own", "term", "restored", "written", "read", "strong", "changed", "common", "final"])
+                                rows.append((w, own[0], t, o, *chain, strong, changed, -chains.CHAINS.index(chain), final(o), bool(likely >= score[-1])))
+            cols = list(zip(*rows)) or [[]] * 11
+            kinds = [pa.string()] * 6 + [pa.bool_(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["word", "own", "term", "restored", "written", "read", "strong", "changed", "common", "final", "sure"])
 
     def lose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +282,7 @@ def garbled_words(counts: DataFrame, model: Classifier) -> DataFrame:
 
     counts = counts.repartition(partitions(spark), "word")  # few bytes, but much work per word
     known = written(counts.mapInArrow(count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "terms")
-    tries = counts.select("word").mapInArrow(invert, "word string, own string, term string, restored string, written string, read string, strong boolean, changed int, common int, final boolean")
+    tries = counts.select("word").mapInArrow(invert, "word string, own string, term string, restored string, written string, read string, strong boolean, changed int, common int, final boolean, sure boolean")
     lost = counts.where(F.col("n") >= LEAST).mapInArrow(lose, "own string, n long").groupBy("own").agg(F.max("n").alias("of"))
     far = F.col("of") >= F.greatest(F.lit(LEAST), RATIO * F.coalesce("mine", F.lit(0)))
     mine = known.select(F.col("term").alias("own"), F.col("n").alias("mine"))
@@ -289,13 +290,13 @@ def garbled_words(counts: DataFrame, model: Classifier) -> DataFrame:
     tries = written(tries, "tries")
     voted = tries.join(known.select("term", F.col("n").alias("of")).hint("merge"), "term").join(mine.hint("merge"), "own", "left").where(far)
     alone = tries.where("term is null").withColumn("of", F.lit(0))  # evident ones need no votes; votes still choose between inverses
-    picked = ("word", "restored", "written", "read", "strong", "changed", "common", "final", "of")
+    picked = ("word", "restored", "written", "read", "strong", "changed", "common", "final", "sure", "of")
     inverted = voted.select(*picked).unionByName(alone.select(*picked))
-    best = inverted.groupBy("word").agg(F.max_by(F.struct("restored", "written", "read", "strong", "changed"), F.struct("strong", "final", "of", "restored", "common")).alias("b"))  # of equal results the commoner encoding
+    best = inverted.groupBy("word").agg(F.max_by(F.struct("restored", "written", "read", "strong", "changed", "sure"), F.struct("strong", "final", "of", "restored", "common")).alias("b"))  # of equal results the commoner encoding
     keyed = counts.select("word").mapInArrow(_cores, "word string, own string")
     lossy = keyed.join(lost.hint("merge"), "own").join(mine.hint("merge"), "own", "left").where(far).select("word", F.lit(True).alias("lossy")).distinct()
     both = best.join(lossy.hint("merge"), "word", "full_outer")
-    return both.select("word", "b.restored", "b.written", "b.read", (F.coalesce("b.strong", F.lit(False)) | F.coalesce("lossy", F.lit(False))).alias("strong"), F.coalesce("b.changed", F.lit(1)).alias("changed"))
+    return both.select("word", "b.restored", "b.written", "b.read", (F.coalesce("b.strong", F.lit(False)) | F.coalesce("lossy", F.lit(False))).alias("strong"), F.coalesce("b.changed", F.lit(1)).alias("changed"), F.coalesce("b.sure", F.lit(False)).alias("sure"))
 
 
 def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,8 +316,8 @@ class Garbled:
 def find(documents: DataFrame, train_words: int = TRAIN_WORDS) -> Garbled:
     """The garbled documents of the table.
 
-    A document is found if it has a mark, a strong garbled word, or legacy-encoded evidence: two
-    different garbled words or one with three changed characters. Null, empty and ASCII texts are never
+    A document is found if it has a mark, a strong garbled word, or legacy-encoded evidence: a
+    garbled word whose chain is likelier than clean, two different ones or one with three changed characters. Null, empty and ASCII texts are never
     found. Ids should be unique; rows that share one are judged together.
     """
     parts = written(extract(documents), "words")
@@ -327,10 +328,10 @@ def find(documents: DataFrame, train_words: int = TRAIN_WORDS) -> Garbled:
     model = train([(r.word, r.n) for r in frequent.orderBy(F.desc("n"), "word").collect()])
     bad = written(garbled_words(counts, model), "garbled")
     held = each.join(bad, "word").groupBy("doc_id").agg(
-        F.max("strong").alias("strong"), F.countDistinct("word").alias("different"), F.max("changed").alias("changed"), F.collect_set(F.struct("word", "restored", "written", "read", "strong")).alias("words")
+        F.max("strong").alias("strong"), F.countDistinct("word").alias("different"), F.max("changed").alias("changed"), F.max("sure").alias("sure"), F.collect_set(F.struct("word", "restored", "written", "read", "strong")).alias("words")
     )
     marked = parts.where("marks > 0").select("doc_id", "marks").groupBy("doc_id").agg(F.bit_or("marks").alias("marks"))
-    enough = F.col("strong") | (F.col("different") >= 2) | (F.col("changed") >= 3)
+    enough = F.col("strong") | F.col("sure") | (F.col("different") >= 2) | (F.col("changed") >= 3)
     found = held.where(enough).join(marked, "doc_id", "full_outer").select("doc_id", F.coalesce("marks", F.lit(0)).alias("marks"), "words")
     return Garbled(found, bad, model)
 
