@@ -133,3 +133,9 @@ def test_a_lone_legacy_word_is_found(spark):
     lone = chains.garble("večeři", ("cp1250", "cp1252"))
     assert sum(c > "\x7f" for c in lone) == 2
     assert found(spark, corpus(600) + [(7000, "cs", f"{lone} here")])[0] == {7000}
+
+
+def test_every_chain_near_clean_is_tried():
+    model = mojibake.train([("été", 5)])
+    scores = mojibake.np.zeros((1, len(chains.CHAINS) + 1), mojibake.np.float32)
+    assert set(model.rank(scores)[0]) == set(chains.CHAINS)

@@ -21,6 +21,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ from tidelog.session import partitions, ship, written
 #: Words the classifier is fitted on: the most frequent ones.
 TRAIN_WORDS = 4000
 HASH_BITS, SMOOTH = 12, 0.05
-#: Chains tried per word at most, and how far below the clean class they may score.
-TRIED, SLACK = 64, 12.0
+#: How far below the clean class a chain may score to be tried.
+SLACK = 12.0
 #: An inverse must be so many times as frequent as the word, and at least so frequent.
 RATIO, LEAST = 5, 3
 
@@ -203,7 +204,7 @@ class Classifier:
         return self.rank(self.scores(items))
 
     def rank(self, s: np.ndarray) -> list[list[tuple[str, str]]]:
-        top = np.argsort(-s[:, :-1], axis=1)[:, :TRIED]
+        top = np.argsort(-s[:, :-1], axis=1)
         near = np.take_along_axis(s, top, axis=1) >= s[:, -1:] - SLACK
         return [[self.chains[k] for k, ok in zip(row, fine) if ok] for row, fine in zip(top.tolist(), near.tolist())]
 
@@ -250,26 +251,30 @@ def garbled_words(counts: DataFrame, model: Classifier) -> DataFrame:
             rows = [(t, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for t in dict.fromkeys((*terms(w), w.lower()))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["term", "n"])
 
+    number = {c: k for k, c in enumerate(chains.CHAINS)}
+
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items, rows = batch.column(0).to_pylist(), []
             scores = table.value.scores(items)
+            last = lru_cache(1 << 16)(final)  # chains share many inverses
             for w, score, tried in zip(items, scores, table.value.rank(scores)):
                 close = score[:-1].max() - CLOSE
+                changed = sum(c > "\x7f" for c in w)
                 for chain in tried:
+                    own = None
                     for o in chains.inverses(w, chain):
                         if chain[0] != "utf-8" and _CONTROL.search(o):
                             continue
-                        changed = sum(c > "\x7f" for c in w)
                         strong = chain[0] in chains.MULTIBYTE and changed > 1
-                        own = owned(w, chain)
-                        likely = score[chains.CHAINS.index(chain)]
+                        own = own or owned(w, chain)
+                        likely = score[number[chain]]
                         if likely >= close and evident(w, o, chain, likely - score[-1]):
-                            rows.append((w, own[0], None, o, *chain, True, changed, -chains.CHAINS.index(chain), final(o), bool(likely >= score[-1])))
+                            rows.append((w, own[0], None, o, *chain, True, changed, -number[chain], last(o), bool(likely >= score[-1])))
                         # single-byte encodings turn letters into other letters: there only the whole word is evidence
                         for t in terms(o) if strong else terms(o)[:1]:
                             if t not in own and (len(t) > 1 or chain[0] == "utf-8" and strong):
-                                rows.append((w, own[0], t, o, *chain, strong, changed, -chains.CHAINS.index(chain), final(o), bool(likely >= score[-1])))
+                                rows.append((w, own[0], t, o, *chain, strong, changed, -number[chain], last(o), bool(likely >= score[-1])))
             cols = list(zip(*rows)) or [[]] * 11
             kinds = [pa.string()] * 6 + [pa.bool_(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["word", "own", "term", "restored", "written", "read", "strong", "changed", "common", "final", "sure"])
