@@ -31,8 +31,23 @@ def test_any_order_and_any_number_of_deliveries(spark):
     dirty = [("a", None, 1, b"k", b"x"), ("a", 900, 7, b"k", b"x"), ("a", 901, 2, b"k1", b"x"), ("a", 902, 1, b"", b"x"), ("a", 903, 1, None, b"x"), ("a", 904, None, b"k", b"x")]
     sent = data + rnd.choices(data, k=300) + dirty
     rnd.shuffle(sent)
-    for bits in (2, 16):
-        assert got(signed.live_rows(log(spark, sent), chunk_bits=bits)) == fold(data)
+    for chunk, span in ((2, 5), (1, 2), (10, 30)):
+        assert got(signed.live_rows(log(spark, sent), chunk_bits=chunk, span_bits=span)) == fold(data)
+
+
+def test_every_superseded_change_has_a_minus_one_image(spark, sf):
+    rows = spark.read.parquet(f"{sf}/wal_record.parquet")
+    seqs, minus = {}, 0
+    for r in rows.where(signed.is_valid()).collect():
+        seqs.setdefault((r.node_id, bytes(r.key)), {})[r.seq_no] = r.op
+    puts = sum(op == 1 for held in seqs.values() for s, op in held.items() if s < max(held))
+    every = sum(len(held) - 1 for held in seqs.values())
+    got_puts = got_all = 0
+    for steps, group in signed.levels(rows):
+        minus = signed.images(steps, *group).where("sign = -1")
+        got_all += minus.count()
+        got_puts += minus.where("op = 1").count()
+    assert every > 0 and (got_all, got_puts) == (every, puts)
 
 
 BASE = "node_id string, key binary, seq_no long, op tinyint, value binary"
@@ -53,7 +68,7 @@ def test_batches_of_late_changes_equal_one_fold(spark):
     rnd.shuffle(sent)
     base = None
     for i in range(0, 240, 80):
-        base = spark.createDataFrame(signed.state(log(spark, sent[i : i + 80]), base, 3).collect(), BASE)
+        base = spark.createDataFrame(signed.state(log(spark, sent[i : i + 80]), base, chunk_bits=3, span_bits=5).collect(), BASE)
     assert got(base.where("op = 1")) == fold(data)
 
 
