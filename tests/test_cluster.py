@@ -45,23 +45,24 @@ def test_routes(spark):
 
 
 def spread(spark, log, r):
-    return ring.replicas(r.place(spark.createDataFrame(log, "key string, seq_no long, op int, value string"), 3))
+    return r.place(spark.createDataFrame(log, "key string, seq_no long, op int, value string"), 3)
 
 
 def down(spark, rows):
     return spark.createDataFrame(rows, "node_id string, from_seq long, to_seq long")
 
 
-def test_quorums_with_a_node_down(spark):
+@pytest.mark.parametrize("limit", [1024, 0])
+def test_quorums_with_a_node_down(spark, limit):
     from pyspark.sql import functions as F
 
     r = ring.Ring(nodes(3), 16)
     log = [("alpha", 1, 1, "v1"), ("beta", 2, 1, "v2"), ("alpha", 3, 2, None), ("gamma", 4, 1, "")]
     m = spread(spark, log, r)
-    out = {(x.key, x.seq_no): (x.acks, x.ok) for x in quorum.write_outcomes(m, down(spark, [("node-3", 3, 9), ("node-3", 3, 4), ("node-2", 4, 4)]), 2).collect()}
+    out = {(x.key, x.seq_no): (x.acks, x.ok) for x in quorum.write_outcomes(m, down(spark, [("node-3", 3, 9), ("node-3", 3, 4), ("node-2", 4, 4)]), 2, limit).collect()}
     assert out == {("alpha", 1): (3, True), ("beta", 2): (3, True), ("alpha", 3): (2, True), ("gamma", 4): (1, False)}
-    state = quorum.replica_state(m, down(spark, [("node-3", 3, 3)]))
-    replicas = m.select("key", "node_id").distinct()
+    state = quorum.replica_state(m, down(spark, [("node-3", 3, 3), (None, 1, 9), ("node-1", 9, 1)]), limit)
+    replicas = ring.replicas(m.select("key", "prefs", "coordinator").distinct())
     # node-3 missed the delete of alpha; if it answers first, the old value comes back
     first = quorum.read_outcomes(replicas, state, 2, arrival=F.when(F.col("node_id") == "node-3", "0").otherwise(F.col("node_id")))
     got = {x.key: (x.status, x.value) for x in first.collect()}
@@ -75,6 +76,13 @@ def test_quorums_with_a_node_down(spark):
     assert [(x.node_id, x.key, x.seq_no, x.latest_seq_no) for x in quorum.stale(state, m).collect()] == [("node-3", "alpha", 1, 3)]
 
 
+def test_the_log_is_not_shuffled_by_node(spark):
+    m = spread(spark, [("alpha", 1, 1, "v1")], ring.Ring(nodes(3), 16))
+    d = down(spark, [("node-3", 3, 9)])
+    for df in (quorum.write_outcomes(m, d, 2), quorum.applied(m, d)):
+        assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_configuration(tmp_path):
     assert StorageConfig.load(None) == StorageConfig.load(str(tmp_path / "none")) == StorageConfig()
     (tmp_path / "c.json").write_text('{"compression": "snappy", "log_level": "debug", "block_size": 4096}')

@@ -48,8 +48,8 @@ def placed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spread(spark: SparkSession, d: str) -> DataFrame:
-    """Every mutation on every replica of its key; the list is computed in the row, without a join."""
-    return ring.replicas(RING.place(changelog(spark, d), N))
+    """Every mutation with the replica list of its key, which is computed in the row."""
+    return RING.place(changelog(spark, d), N)
 
 
 def outage(spark: SparkSession) -> DataFrame:
@@ -216,7 +216,10 @@ def read_quorum_outcome(spark: SparkSession, d: str) -> DataFrame:
 
 
 def read_quorum_unavailable(spark: SparkSession, d: str) -> DataFrame:
-    return quorum.read_outcomes(ring.replicas(placed(spark, d)), replica_state(spark, d), R, unreachable=["node-1", "node-2"]).groupBy("status").agg(F.count(F.lit(1)).alias("keys"))
+    """Reads of every key while two nodes cannot be reached, with a quorum of one: values of the third node only, or none."""
+    alone = quorum.read_outcomes(ring.replicas(placed(spark, d)), replica_state(spark, d), 1, unreachable=["node-1", "node-2"])
+    both = quorum.read_outcomes(ring.replicas(placed(spark, d)), replica_state(spark, d), R, unreachable=["node-1", "node-2"])
+    return alone.select("key", F.col("status").alias("status_of_one"), "seq_no").join(both.select("key", F.col("status").alias("status_of_two")), "key")
 
 
 def stale_after_missed_writes(spark: SparkSession, d: str) -> DataFrame:
@@ -383,7 +386,9 @@ ORACLE: dict[str, str] = {
     "read_quorum_outcome": f"""WITH {REPLICAS}, rep AS (SELECT p.key, r.value, r.seq_no, CASE WHEN r.op = 1 THEN 1 ELSE 0 END AS found, row_number() OVER (PARTITION BY p.key ORDER BY sha1(concat(p.key, p.node_id))) AS arr
  FROM prefs p LEFT JOIN rst r ON r.key = p.key AND r.node_id = p.node_id), q AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN found = 1 THEN 0 ELSE 1 END, arr) AS w FROM rep WHERE arr <= {R})
  SELECT key, CASE WHEN found = 1 THEN 'FOUND' ELSE 'NOT_FOUND' END AS status, CASE WHEN found = 1 THEN value END AS value, CASE WHEN found = 1 THEN seq_no END AS seq_no FROM q WHERE w = 1""",
-    "read_quorum_unavailable": "SELECT 'UNAVAILABLE' AS status, count(DISTINCT user_id) AS keys FROM events",
+    "read_quorum_unavailable": f"""WITH {REPLICAS}, up AS (SELECT p.key, count(*) FILTER (WHERE p.node_id NOT IN ('node-1', 'node-2')) AS n FROM prefs p WHERE p.pref <= {N} GROUP BY p.key)
+ SELECT u.key, CASE WHEN u.n < 1 THEN 'UNAVAILABLE' WHEN r.op = 1 THEN 'FOUND' ELSE 'NOT_FOUND' END AS status_of_one, CASE WHEN u.n >= 1 AND r.op = 1 THEN r.seq_no END AS seq_no,
+ CASE WHEN u.n < {R} THEN 'UNAVAILABLE' WHEN r.op = 1 THEN 'FOUND' ELSE 'NOT_FOUND' END AS status_of_two FROM up u LEFT JOIN rst r ON r.key = u.key AND r.node_id = 'node-3'""",
     "stale_after_missed_writes": f"WITH {REPLICAS} SELECT r.node_id, r.key, r.seq_no, n.s AS latest_seq_no FROM rst r JOIN (SELECT key, max(seq_no) AS s FROM log GROUP BY key) n ON n.key = r.key WHERE r.seq_no < n.s",
     "bloom_params": f"""WITH {FLUSHED}, c AS (SELECT layer_id, count(*) AS n FROM flushed GROUP BY layer_id), s AS (SELECT *, CAST(floor((greatest(ceil(-n * ln(0.01) / (ln(2) * ln(2))), 64) + 7) / 8) * 8 AS BIGINT) AS m FROM c)
  SELECT layer_id, n, m, CAST(greatest(round(m / n * ln(2)), 1) AS BIGINT) AS k FROM s""",
