@@ -8,13 +8,13 @@ from tidelog.llm import queries as q
 @pytest.mark.parametrize("rows", [0, 3])
 @pytest.mark.parametrize("name", sorted(q.QUERIES))
 def test_degenerate(spark, tmp_path, name, rows):
-    for t in ("documents", "mix_target"):
+    for t in ("documents", "mix_target", "sst_entry", "wal_incoming"):
         schema = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").schema
         for f in schema:
             f.nullable = True
         spark.createDataFrame([[None] * len(schema)] * rows, schema).write.parquet(f"{tmp_path}/{t}.parquet")
     got = q.QUERIES[name](spark, str(tmp_path)).collect()
-    assert len(got) == {"p7_ids": rows, "p7_reuse": 1}.get(name, 0)
+    assert len(got) == {"p7_ids": rows, "p7_reuse": 1, "p2_rate": 1, "p2_rate_short": 1}.get(name, 0)
     if name == "p7_ids":
         assert all(r.ids == [] for r in got)
 
