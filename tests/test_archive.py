@@ -44,11 +44,28 @@ def test_round_trip_and_parts(spark):
 def test_damage_is_noticed(spark):
     a = archive.pack(entries(spark, data()), tables(spark, [1]), new_path(spark, "a"))
     other = archive.Archive(spark, new_path(spark, "b"))
-    a.containers.write.parquet(f"{other.path}/containers")
+    a.containers.selectExpr("container", "payload", "transform(members, m -> named_struct('layer_id', m.layer_id, 'part', m.part, 'offset', m.offset, 'length', m.length, 'crc', m.crc + 1, 'entries', m.entries)) as members").write.parquet(f"{other.path}/containers")
     a.index.selectExpr("id", "file", "file_size", "part", "container", "offset", "length", "crc + 1 as crc", "entries").write.parquet(f"{other.path}/index")
     with pytest.raises(Exception, match="ChecksumError"):
         archive.unpack(other).collect()
+    with pytest.raises(Exception, match="ChecksumError"):
+        archive.small_layers(other).collect()
+
+
+def test_the_salted_join_gives_the_same(spark):
+    rows = data()
+    a = archive.pack(entries(spark, rows), tables(spark, [1, 3]), new_path(spark, "a"), target=8000, most_broadcast=0)
+    assert plain(archive.unpack(a)) == sorted({r for r in rows if r[0] in (1, 3)}, key=str)
+    assert a.index.where("id = 3").count() > 3
+
 
+def test_found_ids_are_read_from_the_containers(spark):
+    a = archive.pack(entries(spark, data()), tables(spark, [1, 2, 3, 5, 8]), new_path(spark, "a"), target=8000)
+    assert sorted(r.id for r in archive.small_layers(a, 801).collect()) == [1, 2, 3, 5, 8]
+    other = archive.Archive(spark, new_path(spark, "b"))
+    a.index.write.parquet(f"{other.path}/index")
+    a.containers.limit(0).write.parquet(f"{other.path}/containers")
+    assert [r.id for r in archive.small_layers(other, 801).collect()] == [8]  # nothing without its bytes
 
 def test_right_tables(spark):
     rows = [("n", 1, 1, 7, "a", None), ("n", 1, 3, 7, "a", 50), ("n", 1, 3, 7, "a", 50), ("n", 2, 9, 7, "a", 1), ("n", 3, 1, 8, "b", 9), ("n", 1, None, 9, "c", 5), ("n", 1, 1, None, "d", 5), ("n", 1, 2, 10, "e", None)]

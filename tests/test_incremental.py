@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.operators import incremental
-from tidelog.session import new_path
+from tidelog.session import hadoop_path, new_path
 from tidelog.sources import publish
 
 SCHEMA = "node_id string, seq_no long, value string, lo long, block long"
@@ -48,7 +48,8 @@ def test_failures_neither_skip_nor_repeat(spark):
     with pytest.raises(InterruptedError):
         t.run(first, before_publish=die)
     assert t.rows() is None
-    assert t.run(first) == 1
+    assert t.vacuum() == 1
+    assert t.run(first) == 1 and t.vacuum() == 0
     assert t.run(first) == 2
     more = source(spark, [("a", i, "w") for i in range(20)])
     t.run(more)
@@ -70,6 +71,11 @@ def test_two_writers_cannot_publish_one_version(spark):
     with pytest.raises(publish.PublishConflict):
         publish.publish(spark, folder, 1, {"a": 2})
     assert publish.load(spark, folder, 1) == {"a": 1} and publish.latest_version(spark, folder) == 1
+    fs, target = hadoop_path(spark, f"{folder}/{publish._name(2)}")
+    publish._create(spark, fs, target, bytearray(b'{"b": 1}'))
+    with pytest.raises(publish.PublishConflict):
+        publish._create(spark, fs, target, bytearray(b'{"b": 2}'))
+    assert publish.load(spark, folder, 2) == {"b": 1}
 
 
 def test_empty(spark):

@@ -5,8 +5,8 @@ containers of a target size, and an index row per layer part gives container, of
 checksum, so that any layer can be cut out again byte for byte, and containers are read in
 parallel. Everything runs on the JVM side; Python decodes only what is looked up.
 
-A layer larger than a container is split into parts by key hash, so no task ever holds more than
-about one container. Placement works on the narrow (layer, part, length) rows, in shards.
+A layer larger than a fraction of a container is split into parts by key hash, before its rows are
+brought together, so no task ever holds more than about one container, whatever a layer's size.
 """
 
 from __future__ import annotations
@@ -20,10 +20,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.session import new_path, partitions, ship
-from tidelog.sources import publish
+from tidelog.session import new_path, ship, written
 
-TARGET_BYTES = 4 << 20
+TARGET_BYTES = 32 << 20
+#: A larger layer is split into parts of this fraction of a container, so that containers fill evenly.
+PARTS_PER_CONTAINER = 8
+#: Large layers are broadcast up to so many, and joined by salted keys beyond.
+MOST_BROADCAST, SALTS = 1 << 18, 32
 #: Bits of the flag byte of an encoded entry.
 TOMBSTONE, NO_TOMBSTONE, NO_SEQ, NO_VALUE, NO_KEY = 1, 2, 4, 8, 16
 HEAD = struct.Struct(">BqII")
@@ -33,15 +36,21 @@ def _be(c: Column, width: int) -> Column:
     return F.unhex(F.lpad(F.hex(c), 2 * width, "0")) if width == 8 else F.unhex(F.right(F.lpad(F.hex(c), 16, "0"), F.lit(2 * width)))
 
 
-def encoded_entry() -> Column:
-    """flags 1, seq_no 8, key length 4, value length 4 (big-endian), key, value; nulls have their flag."""
+def entry() -> Column:
+    """What an entry is encoded from: (key, head, value), nulls as empty; ``head`` is flags 1, seq_no 8, key length 4, value length 4 (big-endian)."""
     bit = lambda cond, b: F.when(cond, F.lit(b)).otherwise(F.lit(0))
     flags = (
         bit(F.coalesce("tombstone", F.lit(False)), TOMBSTONE) + bit(F.col("tombstone").isNull(), NO_TOMBSTONE) + bit(F.col("seq_no").isNull(), NO_SEQ)
         + bit(F.col("value").isNull(), NO_VALUE) + bit(F.col("key").isNull(), NO_KEY)
     )
     key, value = F.coalesce("key", F.lit(b"")), F.coalesce("value", F.lit(b""))
-    return F.concat(_be(flags.cast("long"), 1), _be(F.coalesce("seq_no", F.lit(0)), 8), _be(F.length(key).cast("long"), 4), _be(F.length(value).cast("long"), 4), key, value)
+    head = F.concat(_be(flags.cast("long"), 1), _be(F.coalesce("seq_no", F.lit(0)), 8), _be(F.length(key).cast("long"), 4), _be(F.length(value).cast("long"), 4))
+    return F.struct(key.alias("key"), head.alias("head"), value.alias("value"))
+
+
+def encoded(entries: str) -> Column:
+    """The bytes of an array of entries, in linear time: head, key and value of each."""
+    return F.unhex(F.array_join(F.transform(entries, lambda e: F.hex(F.concat(e["head"], e["key"], e["value"]))), ""))
 
 
 def decode_entries(data: bytes) -> Iterator[tuple]:
@@ -69,13 +78,14 @@ def right_tables(manifest: DataFrame, runs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Archive:
-    """Paths of the containers (container, payload) and of the index."""
+    """Paths of the containers and of the index."""
 
     spark: SparkSession
     path: str
 
     @property
     def containers(self) -> DataFrame:
+        """(container, payload, members); ``members`` lists what lies in the payload, in its order."""
         return self.spark.read.parquet(f"{self.path}/containers")
 
     @property
@@ -84,41 +94,59 @@ class Archive:
         return self.spark.read.parquet(f"{self.path}/index")
 
 
-def pack(entries: DataFrame, tables: DataFrame, path: str, target: int = TARGET_BYTES) -> Archive:
+def layer_bytes(entries: DataFrame) -> DataFrame:
+    """(layer_id, bytes) of the encoded rows, repeats included; lengths are summed before the shuffle."""
+    size = HEAD.size + F.coalesce(F.length("key"), F.lit(0)) + F.coalesce(F.length("value"), F.lit(0))
+    return entries.where("layer_id is not null").groupBy("layer_id").agg(F.sum(size.cast("long")).alias("bytes"))
+
+
+def pack(entries: DataFrame, tables: DataFrame, path: str, target: int = TARGET_BYTES, most_broadcast: int = MOST_BROADCAST) -> Archive:
     """Pack the entries of ``tables`` (see right_tables) into containers of about ``target`` bytes.
 
     Exactly repeated entries are stored once; entries of layers not in ``tables`` are left out;
     empty inputs give an archive without containers. Nulls in any column come back as nulls.
+
+    A row's part follows from its key's hash, and its container from (layer, part), so the rows are
+    shuffled once to their part, where they are encoded, and the parts once to their container. Only
+    the parts of the large layers must be looked up: one narrow row for each of them.
     """
     spark = entries.sparkSession
-    members = f"{path}/members"
-    own = entries.select("layer_id", "key", "value", "seq_no", "tombstone").distinct()
-    own = own.join(tables.select(F.col("id").alias("layer_id")), "layer_id", "left_semi").select("layer_id", "key", "seq_no", encoded_entry().alias("rec"))
-    sizes = own.groupBy("layer_id").agg(F.ceil(F.sum(F.length("rec")) / target).cast("int").alias("parts"))
-    parted = own.join(sizes, "layer_id").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    parted = parted.repartition(partitions(spark), "layer_id", "part")  # else the join's partitioning by layer would be kept, large layers and all
-    data = parted.groupBy("layer_id", "part").agg(F.expr("listagg(rec, X'') within group (order by key, seq_no, rec)").alias("data"), F.count(F.lit(1)).alias("entries"))
-    data.withColumns({"length": F.length("data").cast("long"), "crc": F.crc32("data")}).write.parquet(members)
-    stored = spark.read.parquet(members)
-
-    narrow = stored.select("layer_id", "part", "length", "crc", "entries")
-    total = narrow.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    shards = max(1, total // (16 * target))
-    in_shard = Window.partitionBy("shard").orderBy("layer_id", "part")
-    placed = narrow.withColumn("shard", F.pmod(F.xxhash64("layer_id", "part"), F.lit(shards)))
-    placed = placed.withColumn("no", F.floor((F.sum("length").over(in_shard) - F.col("length")) / target))
-    placed = placed.withColumn("container", F.format_string("%06d-%06d", "shard", "no"))
-    in_container = Window.partitionBy("container").orderBy("layer_id", "part")
-    placed = placed.withColumn("offset", F.sum("length").over(in_container) - F.col("length"))
-    index = tables.select(F.col("id").alias("layer_id"), "file", "file_size").join(placed.drop("shard", "no"), "layer_id", "left")
-    index = index.select(F.col("layer_id").alias("id"), "file", "file_size", F.coalesce("part", F.lit(0)).alias("part"), "container", "offset", F.coalesce("length", F.lit(0)).alias("length"), "crc", F.coalesce("entries", F.lit(0)).alias("entries"))
-    index.write.parquet(f"{path}/index")
-
-    place = spark.read.parquet(f"{path}/index").where("container is not null").select(F.col("id").alias("layer_id"), "part", "container")
-    packed = stored.select("layer_id", "part", "data").join(place, ["layer_id", "part"])
-    packed.groupBy("container").agg(F.expr("listagg(data, X'') within group (order by layer_id, part)").alias("payload")).write.parquet(f"{path}/containers")
-    publish.remove(spark, members)
-    return Archive(spark, path)
+    sizes = layer_bytes(entries)
+    large = written(sizes.select("layer_id", F.ceil(F.col("bytes") * PARTS_PER_CONTAINER / target).cast("long").alias("parts"), "bytes"), "parts")
+    total = large.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    large = large.where("parts > 1").select("layer_id", "parts")
+    many, shards = large.count(), max(1, -(-total // target))
+
+    own = entries.where("layer_id is not null").select("layer_id", "key", "value", "seq_no", "tombstone")
+    own = own.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    if many <= most_broadcast:
+        parted = own.join(F.broadcast(large), "layer_id", "left")  # at most ``most_broadcast`` rows of two numbers
+    else:
+        salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        parted = own.join(salted.hint("merge"), ["layer_id", "salt"], "left")
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts"))).otherwise(F.lit(0)).cast("long")
+    parted = parted.select("layer_id", part.alias("part"), entry().alias("e"))
+    members = parted.groupBy("layer_id", "part").agg(F.sort_array(F.collect_set("e")).alias("es"))  # repeats drop out in the map tasks
+    members = members.select("layer_id", "part", F.size("es").alias("entries"), encoded("es").alias("data"))
+    # layers of other runs leave here, where a layer is one row
+    members = members.join(tables.select(F.col("id").alias("layer_id")), "layer_id", "left_semi")
+    members = members.withColumn("container", F.pmod(F.xxhash64("layer_id", "part"), F.lit(shards)))
+    members = members.withColumn("length", F.length("data").cast("long"))
+    before = F.sum("length").over(Window.partitionBy("container").orderBy("layer_id", "part")) - F.col("length")  # a container's members meet anyway
+    named = F.struct("layer_id", "part", "offset", "length", F.crc32("data").alias("crc"), F.col("entries").cast("long").alias("entries"))
+    packed = members.withColumn("offset", before).groupBy("container").agg(
+        F.expr("listagg(data, X'') within group (order by layer_id, part)").alias("payload"), F.sort_array(F.collect_list(named)).alias("members")
+    )
+    packed.write.parquet(f"{path}/containers")
+
+    archive = Archive(spark, path)
+    listed = archive.containers.select("container", F.explode("members").alias("m")).select("container", "m.*")  # the payload is not read
+    index = tables.select(F.col("id").alias("layer_id"), "file", "file_size").join(listed, "layer_id", "left")
+    none = F.lit(0).cast("long")
+    index.select(
+        F.col("layer_id").alias("id"), "file", "file_size", F.coalesce("part", none).alias("part"), "container", "offset", F.coalesce("length", none).alias("length"), "crc", F.coalesce("entries", none).alias("entries"),
+    ).write.parquet(f"{path}/index")
+    return archive
 
 
 class ChecksumError(ValueError):
@@ -153,9 +181,29 @@ def unpack(archive: Archive, ids: DataFrame | None = None) -> DataFrame:
     return archive.containers.join(cuts, "container").select("payload", "cuts").mapInPandas(decode, schema)
 
 
+def verified(archive: Archive) -> DataFrame:
+    """(id, part, entries) of every member read from the containers, with its checksum compared there, in the JVM.
+
+    A member whose bytes do not match raises.
+    """
+    cut = lambda m: F.crc32(F.substring("payload", (m["offset"] + 1).cast("int"), m["length"].cast("int")))
+    seen = lambda m: F.struct(m["layer_id"].alias("id"), m["part"].alias("part"), m["entries"].alias("entries"), (cut(m) == m["crc"]).alias("ok"))
+    each = archive.containers.select(F.explode(F.transform("members", seen)).alias("m")).select("m.*")
+    wrong = F.raise_error(F.concat(F.lit("ChecksumError: layer "), F.col("id").cast("string")))
+    return each.select("id", "part", F.when(F.col("ok"), F.col("entries")).otherwise(wrong.cast("long")).alias("entries"))
+
+
 def small_layers(archive: Archive, limit: int = 16384) -> DataFrame:
-    """(id) of the archived layers that were files of fewer than ``limit`` bytes; null sizes are not."""
-    return archive.index.where(F.col("file_size") < limit).select("id").distinct()
+    """(id) of the layers that were files of fewer than ``limit`` bytes and have come whole out of the archive.
+
+    The ids are those of the members read back from the containers, all of whose parts and entries
+    must be there; layers without entries have no bytes to read and come from the index. Null sizes are not small.
+    """
+    read = verified(archive).groupBy("id").agg(F.count(F.lit(1)).alias("parts"), F.sum("entries").alias("entries"))
+    small = archive.index.where(F.col("file_size") < limit)
+    named = small.where("container is not null").groupBy("id").agg(F.count(F.lit(1)).alias("want_parts"), F.sum("entries").alias("want_entries"))
+    whole = read.join(named, "id").where("parts = want_parts and entries = want_entries").select("id")
+    return whole.unionByName(small.where("container is null").select("id").distinct())
 
 
 def pack_committed(spark: SparkSession, entries: DataFrame, manifest: DataFrame, runs: DataFrame, target: int = TARGET_BYTES) -> Archive:

@@ -114,3 +114,9 @@ class IncrementalTarget:
         before_publish()
         publish.publish(self.spark, f"{self.path}/versions", base + 1, {"folders": [*before, folder]})
         return base + 1
+
+    def vacuum(self) -> int:
+        """Remove the rows of failed runs, which no version names; the number of folders removed. No run may be under way."""
+        v = self.published()
+        named = {f.rsplit("/", 1)[-1] for f in (publish.load(self.spark, f"{self.path}/versions", v)["folders"] if v else [])}
+        return publish.remove_unnamed(self.spark, f"{self.path}/rows", "", named)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -110,19 +111,20 @@ def polynomials(pairs: DataFrame, m: int) -> DataFrame:
 
 
 def roots(hashes: DataFrame, solved: DataFrame, mine: str, other: str, seed: int) -> DataFrame:
-    """(bucket, h, mixed) of a side's rows that are roots of its polynomial and not of the other's."""
+    """(bucket, kh, h, mixed) of a side's rows that are roots of its polynomial and not of the other's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            bucket, kh, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
             x = gf.elements(h.view(np.uint64), seed)
-            own, foreign = (np.array([np.frombuffer(v.as_buffer(), "<u4") for v in batch.column(i)]).astype(np.int64) for i in (2, 3))
+            own, foreign = (np.array([np.frombuffer(v.as_buffer(), "<u4") for v in batch.column(i)]).astype(np.int64) for i in (3, 4))
             w = (gf.evaluate(own, x) == 0) & (gf.evaluate(foreign, x) != 0)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[w]), pa.array(h[w]), pa.array(gf.mix(h[w].view(np.uint64), -2).view(np.int64))], names=["bucket", "h", "mixed"])
+            mixed = gf.mix(h[w].view(np.uint64), -2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (bucket[w], kh[w], h[w], mixed)], names=["bucket", "kh", "h", "mixed"])
 
-    return hashes.join(solved, "bucket").select("bucket", "h", mine, other).mapInArrow(run, "bucket long, h long, mixed long")
+    return hashes.join(solved, "bucket").select("bucket", "kh", "h", mine, other).mapInArrow(run, "bucket long, kh long, h long, mixed long")
 
 
 def _wrapping_sum(c: str) -> Column:
@@ -140,13 +142,23 @@ def _minus(a: Column, b: Column) -> Column:
     return F.shiftleft(high.bitwiseAND(0xFFFFFFFF), 32).bitwiseOR(low.bitwiseAND(0xFFFFFFFF))
 
 
-def differing_hashes(a: DataFrame, b: DataFrame, keyed: Keyed, per_bucket: int = ROWS_PER_BUCKET, first_bound: int = FIRST_BOUND) -> tuple[DataFrame, DataFrame]:
-    """The row hashes (h) only ``a`` has and those only ``b`` has."""
+@dataclass(frozen=True)
+class Differing:
+    """(kh, h) of the rows only ``a`` has and of those only ``b`` has; ``rounds`` (bound, buckets, solved, listed, tried_again)."""
+
+    a: DataFrame
+    b: DataFrame
+    rounds: DataFrame
+
+
+def differing_hashes(a: DataFrame, b: DataFrame, keyed: Keyed, per_bucket: int = ROWS_PER_BUCKET, first_bound: int = FIRST_BOUND) -> Differing:
+    """The hashes of the rows only one side has. A row is named by its key's hash and its own, 128 bits together."""
     ship(a.sparkSession)
     sides = [written(row_hashes(df, keyed), "hashes") for df in (a, b)]
     buckets = max(1, max(s.count() for s in sides) // per_bucket)
-    sides = [s.select(F.pmod("kh", F.lit(buckets)).alias("bucket"), "h") for s in sides]
+    sides = [s.select(F.pmod("kh", F.lit(buckets)).alias("bucket"), "kh", "h") for s in sides]
     found: list[list[DataFrame]] = [[], []]
+    rounds: list[DataFrame] = []
     open_, m, seed = None, first_bound, 0
     while True:
         now = sides if open_ is None else [s.join(open_, "bucket", "left_semi") for s in sides]
@@ -168,21 +180,19 @@ def differing_hashes(a: DataFrame, b: DataFrame, keyed: Keyed, per_bucket: int =
         verdict = written(known.select("bucket", right.alias("right"), (F.lit(2 * m) > F.col("na") + F.col("nb")).alias("listed")), "verdict")
         settled = verdict.where("right").select("bucket")
         for k in (0, 1):
-            found[k].append(hits[k].join(settled, "bucket", "left_semi").select("h"))
+            found[k].append(hits[k].join(settled, "bucket", "left_semi").select("kh", "h"))
         listed = verdict.where("not right and listed").select("bucket")  # the hashes are the shorter message
         for k in (0, 1):
-            found[k].append(now[k].join(listed, "bucket", "left_semi").join(now[1 - k].join(listed, "bucket", "left_semi"), ["bucket", "h"], "left_anti").select("h"))
+            found[k].append(now[k].join(listed, "bucket", "left_semi").join(now[1 - k].join(listed, "bucket", "left_semi"), ["bucket", "kh", "h"], "left_anti").select("kh", "h"))
+        in_round = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
+        solved_, listed_ = F.col("right"), ~F.col("right") & F.col("listed")
+        rounds.append(verdict.agg(F.lit(m).alias("bound"), F.count(F.lit(1)).alias("buckets"), in_round(solved_).alias("solved"), in_round(listed_).alias("listed"), in_round(~solved_ & ~listed_).alias("tried_again")))
         open_ = verdict.where("not right and not listed").select("bucket")
         if open_.isEmpty():
             break
         m, seed = 2 * m, seed + 1
-    out = []
-    for parts in found:
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.union(p)
-        out.append(written(whole, "differing"))
-    return out[0], out[1]
+    union = lambda parts: reduce(DataFrame.union, parts)
+    return Differing(*[written(union(parts), "differing") for parts in found], union(rounds))
 
 
 def differences(a: DataFrame, b: DataFrame, keyed: Keyed, names: tuple[str, str] = ("only_a", "only_b")) -> DataFrame:
@@ -194,9 +204,11 @@ def differences(a: DataFrame, b: DataFrame, keyed: Keyed, names: tuple[str, str]
     side's unmatched rows of its key. Other columns are ignored. Empty tables are allowed.
     """
     fetched = []
-    for rows, h in zip((a, b), differing_hashes(a, b, keyed)):
-        own = rows.select(*keyed.keys, *keyed.fields).withColumn("_h", keyed.row_hash())
-        fetched.append(own.join(h.select(F.col("h").alias("_h")), "_h", "left_semi").drop("_h").distinct().withColumn("_there", F.lit(True)))
+    hashes = differing_hashes(a, b, keyed)
+    for rows, named in ((a, hashes.a), (b, hashes.b)):
+        own = rows.select(*keyed.keys, *keyed.fields).withColumns({"_kh": keyed.key_hash(), "_h": keyed.row_hash()})
+        wanted = named.select(F.col("kh").alias("_kh"), F.col("h").alias("_h"))
+        fetched.append(own.join(wanted, ["_kh", "_h"], "left_semi").drop("_kh", "_h").distinct().withColumn("_there", F.lit(True)))
     x, y = fetched[0].alias("x"), fetched[1].alias("y")
     on = F.lit(True)
     for c in keyed.keys:

@@ -73,16 +73,19 @@ def p3_from_base(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_target(spark: SparkSession, d: str) -> incremental.IncrementalTarget:
     taken = incremental.committed_ranges(table(spark, d, "manifest_table"), table(spark, d, "flush_run"))
-    return incremental.IncrementalTarget(spark, new_path(spark, "target"), ["node_id", "seq_no"], ranges=taken)
+    return incremental.IncrementalTarget(spark, new_path(spark, "target"), ["node_id", "key"], ["seq_no"], ranges=taken)
 
 
 def valid_records(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "wal_record").where(signed.is_valid()).select("node_id", "seq_no", "op", "key", "value")
+    return table(spark, d, "wal_record").where(signed.is_valid()).select("record_id", "node_id", "seq_no", "op", "key", "value")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    target = p4_target(spark, d)
-    target.run(valid_records(spark, d))
+    """Two runs, as records arrive: what the first has published the second meets again among all records."""
+    target, log = p4_target(spark, d), valid_records(spark, d)
+    half = log.agg(F.floor(F.max("record_id") / 2)).scalar()
+    target.run(log.where(F.col("record_id") <= half))
+    target.run(log)
     return target.rows().select("node_id", "seq_no")
 
 
@@ -115,7 +118,9 @@ def p5_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_index(spark: SparkSession, d: str) -> DataFrame:
-    return p5_archive(spark, d).index
+    """Per layer what the index says of its parts together."""
+    parts = p5_archive(spark, d).index.groupBy("id", "file_size")
+    return parts.agg(F.sum("entries").alias("entries"), F.sum("length").alias("length"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -123,8 +128,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return diffs.select("layer_id", as_hex("key"), "diff")
 
 
+def p6_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """How the buckets were settled: per bound how many were tried, solved, listed whole or tried again."""
+    return reconcile.differing_hashes(table(spark, d, "sst_entry"), table(spark, d, "sst_backup"), reconcile.STORE).rounds
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_keys, p1_join, p2_found, p2_batches, p2_rate, p3_found, p3_live, p3_from_base, p4_found, p4_rerun, p5_found, p5_entries, p5_index, p6_found)
+    f.__name__: f for f in (p1_found, p1_keys, p1_join, p2_found, p2_batches, p2_rate, p3_found, p3_live, p3_from_base, p4_found, p4_rerun, p5_found, p5_entries, p5_index, p6_found, p6_rounds)
 }
 
 VALID = "seq_no IS NOT NULL AND op IN (1, 2) AND key IS NOT NULL AND octet_length(key) > 0 AND (op = 1 OR value IS NULL OR octet_length(value) = 0)"
@@ -155,6 +165,9 @@ ORACLE: dict[str, str] = {
     "p5_found": f"SELECT id FROM (SELECT id, file_size, row_number() OVER (PARTITION BY id ORDER BY epoch DESC) AS rn FROM manifest_table WHERE run_id IN ({COMMITTED})) z WHERE rn = 1 AND file_size < 16384",
     "p5_entries": f"""SELECT DISTINCT layer_id, lower(hex(key)) AS key_hex, lower(hex(value)) AS value_hex, seq_no, tombstone FROM sst_entry
  WHERE layer_id IN (SELECT id FROM manifest_table WHERE run_id IN ({COMMITTED}))""",
+    "p5_index": f"""WITH t AS (SELECT id, file_size FROM (SELECT id, file_size, row_number() OVER (PARTITION BY id ORDER BY epoch DESC) AS rn FROM manifest_table WHERE run_id IN ({COMMITTED})) z WHERE rn = 1)
+ SELECT t.id, t.file_size, count(e.layer_id) AS entries, CAST(coalesce(sum(17 + coalesce(octet_length(e.key), 0) + coalesce(octet_length(e.value), 0)), 0) AS BIGINT) AS length
+ FROM t LEFT JOIN (SELECT DISTINCT * FROM sst_entry) e ON e.layer_id = t.id GROUP BY t.id, t.file_size""",
     "p6_found": """WITH a AS (SELECT DISTINCT * FROM sst_entry), b AS (SELECT DISTINCT * FROM sst_backup),
  j AS (SELECT coalesce(a.layer_id, b.layer_id) AS layer_id, lower(hex(coalesce(a.key, b.key))) AS key_hex, a.layer_id IS NOT NULL AS ina, b.layer_id IS NOT NULL AS inb,
    a.value IS DISTINCT FROM b.value AS dv, a.seq_no IS DISTINCT FROM b.seq_no AS ds, a.tombstone IS DISTINCT FROM b.tombstone AS dt
