@@ -3,8 +3,6 @@
 import pytest
 
 import __spark_entry__ as entry
-from tidelog.operators import seen
-from tidelog.session import new_path, table
 
 
 def plan(df):
@@ -17,16 +15,6 @@ def test_no_cross_joins(spark, sf, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-def test_the_index_side_of_a_probe_is_not_shuffled(spark, sf):
-    index = seen.SeenKeys(spark, new_path(spark, "t"))
-    index.add(table(spark, sf, "sst_entry"), level=1)
-    text = plan(index._probe(index.first_per_key(table(spark, sf, "wal_incoming"), "key", "record_id")))
-    side = text[text.index("SortMergeJoin") :]
-    assert "Bucketed: true" in side
-    run = side[side.rindex("Sort [run_h") :]
-    assert "Exchange" not in run
-
-
 def test_columns_are_pruned(spark, sf):
     text = plan(entry.queries()["p1_found"](spark, sf))
     assert "ReadSchema: struct<key:binary>" in text and "arrived_at" not in text

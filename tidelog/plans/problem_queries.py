@@ -1,4 +1,4 @@
-"""The pN_ queries of the store problems (1 to 6) and their SQL."""
+"""The pN_ queries of the general problems (1 and 3 to 6) and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.operators import archive, incremental, keyload, reconcile, seen, signed
+from tidelog.operators import archive, incremental, keyload, reconcile, signed
 from tidelog.session import new_path, table, written
 
 
@@ -31,29 +31,6 @@ def p1_join(spark: SparkSession, d: str) -> DataFrame:
     return j.select(F.col("grp").cast("long").alias("key_length"), *[F.col(c).cast("string").alias(c) for c in ("pairs", "wal_bytes", "sst_bytes")])
 
 
-def p2_decided(spark: SparkSession, d: str) -> seen.Decisions:
-    return seen.seen_before(spark, table(spark, d, "sst_entry"), table(spark, d, "wal_incoming"), new_path(spark, "seen"))
-
-
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_decided(spark, d).found
-
-
-def p2_batches(spark: SparkSession, d: str) -> DataFrame:
-    """The same answers with the incoming records in four batches by arrival and runs merged in pairs."""
-    index = seen.SeenKeys(spark, new_path(spark, "seen"), fanout=2)
-    index.add(table(spark, d, "sst_entry"), level=2)
-    incoming = table(spark, d, "wal_incoming")
-    span = incoming.agg(F.min("record_id").alias("lo"), (F.max("record_id") + 1).alias("hi")).select(F.struct("lo", "hi")).scalar()
-    numbered = incoming.withColumn("batch", F.floor((F.col("record_id") - span["lo"]) * 4 / (span["hi"] - span["lo"])))
-    found = [index.process(numbered.where(F.col("batch") == i)).found for i in range(4)]
-    return found[0].union(found[1]).union(found[2]).union(found[3])
-
-
-def p2_rate(spark: SparkSession, d: str) -> DataFrame:
-    return seen.wrong_rate(p2_decided(spark, d), table(spark, d, "sst_entry"))
-
-
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return signed.live_images(table(spark, d, "wal_record")).select("node_id", as_hex("key"), "seq_no")
 
@@ -134,7 +111,7 @@ def p6_rounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_keys, p1_join, p2_found, p2_batches, p2_rate, p3_found, p3_live, p3_from_base, p4_found, p4_rerun, p5_found, p5_entries, p5_index, p6_found, p6_rounds)
+    f.__name__: f for f in (p1_found, p1_keys, p1_join, p3_found, p3_live, p3_from_base, p4_found, p4_rerun, p5_found, p5_entries, p5_index, p6_found, p6_rounds)
 }
 
 VALID = "seq_no IS NOT NULL AND op IN (1, 2) AND key IS NOT NULL AND octet_length(key) > 0 AND (op = 1 OR value IS NULL OR octet_length(value) = 0)"
@@ -155,8 +132,6 @@ ORACLE: dict[str, str] = {
  CAST(sum(CAST(w.b AS HUGEINT) * s.n) AS VARCHAR) AS wal_bytes, CAST(sum(CAST(s.b AS HUGEINT) * w.n) AS VARCHAR) AS sst_bytes
  FROM (SELECT key, count(*) AS n, sum(coalesce(octet_length(value), 0)) AS b FROM wal_record GROUP BY key) w
  JOIN (SELECT key, count(*) AS n, sum(coalesce(octet_length(value), 0)) AS b FROM sst_entry GROUP BY key) s ON w.key = s.key GROUP BY octet_length(w.key)""",
-    "p2_found": """SELECT record_id FROM (SELECT record_id, key, row_number() OVER (PARTITION BY key ORDER BY record_id) AS rn FROM wal_incoming WHERE key IS NOT NULL AND octet_length(key) > 0) i
- WHERE rn > 1 OR EXISTS (SELECT 1 FROM sst_entry s WHERE s.key = i.key)""",
     "p3_found": f"SELECT node_id, lower(hex(key)) AS key_hex, seq_no FROM ({LAST}) x",
     "p3_live": f"SELECT node_id, lower(hex(key)) AS key_hex, seq_no, lower(hex(value)) AS value_hex FROM ({LAST}) x",
     "p3_from_base": f"SELECT node_id, lower(hex(key)) AS key_hex, seq_no, lower(hex(value)) AS value_hex FROM ({LAST}) x",
@@ -176,4 +151,3 @@ ORACLE: dict[str, str] = {
  UNION ALL SELECT layer_id, key_hex, 'value' FROM j WHERE ina AND inb AND dv UNION ALL SELECT layer_id, key_hex, 'seq_no' FROM j WHERE ina AND inb AND ds
  UNION ALL SELECT layer_id, key_hex, 'tombstone' FROM j WHERE ina AND inb AND dt""",
 }
-ORACLE["p2_batches"] = ORACLE["p2_found"]
