@@ -62,8 +62,8 @@ class SeenKeys:
         return F.shiftrightunsigned(F.xxhash64(key), 64 - self.hash_bits) if self.hash_bits < 64 else F.xxhash64(key)
 
     def zone_of(self, h: str, zones: int) -> Column:
-        """The leading bits of the hash: ``zones`` is a power of two."""
-        return F.shiftrightunsigned(F.col(h), self.hash_bits - zones.bit_length() + 1).cast("int") if zones > 1 else F.lit(0)
+        """The leading bits of the hash: ``zones`` is a power of two. Never a constant, so that joins on it are equi-joins."""
+        return F.shiftrightunsigned(F.col(h), self.hash_bits - zones.bit_length() + 1).cast("int") if zones > 1 else F.pmod(F.col(h), F.lit(1)).cast("int")
 
     def layout(self, n: int) -> tuple[int, int]:
         """(buckets, zones) of a run of ``n`` keys, powers of two."""
