@@ -3,7 +3,7 @@ import pytest
 
 from tidelog.llm import mixture
 
-DOC = "doc_id long, text string, source string, tokens long, p double, unit string"
+DOC = "doc_id long, text string, source string, tokens long, p double, dup string"
 
 
 def docs(spark, rows):
@@ -53,6 +53,12 @@ def test_shares_and_caps(spark):
     c = copies.collect()
     assert len(c) == 3442 and len({x.doc_id for x in c}) == 3442  # 9001 and 9002 too
     assert sum(x.copies * x.tokens for x in c) == sum(x.used_tokens for x in r.values())
+    assert mixture.faults(copies, report).count() == 0
+    worse = copies.withColumn("copies", mixture.F.col("copies") + (mixture.F.col("source") == "mid").cast("int") * 9)
+    assert {(x.source, x.fault) for x in mixture.faults(worse, report).collect()} == {("mid", "cap"), ("mid", "total")}
+    again, _ = mixture.mixture(docs(spark, rows[::-1]).repartition(7), t, block=256)
+    key = lambda x: (x.doc_id, x.source, x.tokens, x.copies)
+    assert sorted(map(key, again.collect())) == sorted(map(key, c))  # whatever the partitioning
     whole = mixture.materialize(docs(spark, rows).select("doc_id", "text"), copies)
     assert whole.count() == sum(x.copies for x in c)
 
@@ -84,3 +90,21 @@ def test_empty(spark):
     assert copies.count() == 0 and [(r.source, r.tokens, r.share) for r in report.collect()] == [("a", 0, 0.0)]
     copies, report = mixture.mixture(docs(spark, [(1, "x", "a")]), targets(spark, []))
     assert copies.count() == 0 and report.count() == 0
+
+
+def test_a_size_that_all_sources_can_reach(spark):
+    rows = [(i, "word " * (i % 7 + 1), s) for i, s in enumerate(["a"] * 900 + ["b"] * 60)]
+    t = targets(spark, [("a", 0.6, 1), ("b", 0.4, 2)])
+    _, report = mixture.mixture(docs(spark, rows), t)
+    assert {r.source for r in report.where("short").collect()} == {"b"}
+    most = mixture.largest_exact(report).first()[0]
+    _, report = mixture.mixture(docs(spark, rows), t, size=most)
+    r = {x.source: x for x in report.collect()}
+    assert not r["a"].short and not r["b"].short
+    assert abs(r["a"].share - 0.6) < 0.02 and abs(r["b"].share - 0.4) < 0.02
+
+
+def test_equal_rows_are_units_of_their_own(spark):
+    rows = [(7, "some text", "a")] * 500 + [(None, "some text", "a")] * 20
+    copies, report = mixture.mixture(docs(spark, rows), targets(spark, [("a", 0.5, 1)]), size=520 * 2)
+    assert copies.count() == 520 and abs(report.first().used_documents - 260) <= 2

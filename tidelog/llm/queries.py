@@ -49,17 +49,33 @@ def p7_reuse(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.reuse(table(spark, d, "documents"))
 
 
+def p8_both(spark: SparkSession, d: str, **options) -> tuple[DataFrame, DataFrame]:
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_target"), **options)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    _, report = mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_target"))
-    return report.where("short").select("source")
+    """The sources whose sample ends at the cap of every document, short of its tokens."""
+    return p8_both(spark, d)[1].where("short").select("source")
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_target"))[0]
+    return p8_both(spark, d)[0]
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_target"))[1]
+    return p8_both(spark, d)[1]
+
+
+def p8_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The report of the largest mixture in which every source that has documents reaches its weight."""
+    documents, targets = table(spark, d, "documents"), table(spark, d, "mix_target")
+    own = documents.join(targets.select("source").distinct(), "source", "left_semi")
+    most = mixture.largest_exact(mixture.plan(tokenize.token_counts(own, ["source"]), targets)).first()[0]
+    return mixture.mixture(documents, targets, size=most or 0)[1]
+
+
+def p8_faults(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.faults(*p8_both(spark, d))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +87,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(documents, mojibake.find(documents))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_batches, p2_rate, p2_rate_short, p7_ids, p7_reuse, p8_found, p8_mix, p8_shares, p9_found, p9_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_batches, p2_rate, p2_rate_short, p7_ids, p7_reuse, p8_found, p8_mix, p8_shares, p8_exact, p8_faults, p9_found, p9_restored)}
 #: Tokenizing and restoring have no SQL; these queries are tested against plain encoding, brute force and held-out texts.
 ORACLE: dict[str, str] = {
     "p2_found": """SELECT record_id FROM (SELECT record_id, key, row_number() OVER (PARTITION BY key ORDER BY record_id) AS rn FROM wal_incoming WHERE key IS NOT NULL AND octet_length(key) > 0) i
