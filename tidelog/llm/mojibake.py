@@ -2,9 +2,14 @@
 
 The units are words with characters beyond ASCII. A multinomial classifier on hashed byte bigrams,
 trained on frequent words of the corpus that are garbled synthetically through every encoding chain,
-ranks the chains of each distinct word. The likeliest chains are inverted; an inverse counts only if
-it decodes strictly and gives a word that the whole corpus has far more often than the garbled one,
-or if it is evident: multi-byte sequences that give ordinary characters (see ``evident``).
+scores every chain of each distinct word. Multi-byte chains are inverted however they score, single-byte
+ones, which turn letters into other letters, unless the classifier calls the word clean by far (SLACK). An
+inverse counts only if it decodes strictly and gives a word that the whole corpus has far more often than the garbled one,
+or if it is evident: multi-byte sequences that give ordinary characters (see ``evident``), and the
+classifier says so. Chains of single-byte encodings have an inverse for nearly every word; which of
+these can be words of the corpus is told by sums over their letters, looked up in a bitmap of fixed
+size (see ``chains.Letters``), and only those are inverted and compared exactly. The chain of a document
+is the classifier's: the likeliest of all its garbled words together among those that explain most.
 Words whose inverse is lost (control characters or case dropped after the decoding) are recognised
 by doing the same loss to the corpus's words. Replacement characters, stray control characters and
 garbled byte order marks need no classifier.
@@ -35,8 +40,10 @@ from tidelog.session import partitions, ship, written
 #: Words the classifier is fitted on: the most frequent ones.
 TRAIN_WORDS = 4000
 HASH_BITS, SMOOTH = 12, 0.05
-#: How far below the clean class a chain may score to be tried.
+#: A word is clean, whatever the corpus has, if a single-byte chain scores so far below clean.
 SLACK = 12.0
+#: The bitmap of letter sums has 2**SUM_BITS bits; fewer only mean more words to compare.
+SUM_BITS = 24
 #: An inverse must be so many times as frequent as the word, and at least so frequent.
 RATIO, LEAST = 5, 3
 
@@ -199,14 +206,9 @@ class Classifier:
         best = self.scores(items).argmax(axis=1)
         return [None if k == len(self.chains) else self.chains[k] for k in best]
 
-    def ranked(self, items: list[str]) -> list[list[tuple[str, str]]]:
-        """Chains worth inverting per item, likeliest first; none where clean is far likelier."""
-        return self.rank(self.scores(items))
-
-    def rank(self, s: np.ndarray) -> list[list[tuple[str, str]]]:
-        top = np.argsort(-s[:, :-1], axis=1)
-        near = np.take_along_axis(s, top, axis=1) >= s[:, -1:] - SLACK
-        return [[self.chains[k] for k, ok in zip(row, fine) if ok] for row, fine in zip(top.tolist(), near.tolist())]
+    def of_words(self, items: list[str]) -> np.ndarray:
+        """Log-likelihoods of the classes for all ``items`` together, as for the words of one document."""
+        return self.scores(items).sum(axis=0)
 
 
 def train(counted: list[tuple[str, int]]) -> Classifier:
@@ -256,12 +258,20 @@ def garbled_words(counts: DataFrame, model: Classifier) -> DataFrame:
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items, rows = batch.column(0).to_pylist(), []
+            if not items:
+                continue
             scores = table.value.scores(items)
             last = lru_cache(1 << 16)(final)  # chains share many inverses
-            for w, score, tried in zip(items, scores, table.value.rank(scores)):
+            held = np.frombuffer(sums.value, np.uint8)
+            every = [chains.longer(w) for w in items]
+            for i, chain in chains.letters(EDGE).inverses(items, lambda s: held[_slot(s) >> 3] >> (_slot(s) & 7) & 1 > 0):
+                every[i].append(chain)
+            for w, score, tried in zip(items, scores, every):
                 close = score[:-1].max() - CLOSE
                 changed = sum(c > "\x7f" for c in w)
                 for chain in tried:
+                    if chain[0] not in chains.MULTIBYTE and score[number[chain]] < score[-1] - SLACK:
+                        continue
                     own = None
                     for o in chains.inverses(w, chain):
                         if chain[0] != "utf-8" and _CONTROL.search(o):
@@ -287,6 +297,7 @@ def garbled_words(counts: DataFrame, model: Classifier) -> DataFrame:
 
     counts = counts.repartition(partitions(spark), "word")  # few bytes, but much work per word
     known = written(counts.mapInArrow(count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "terms")
+    sums = spark.sparkContext.broadcast(_bitmap(known.where(F.col("n") >= LEAST)))  # 2**SUM_BITS bits
     tries = counts.select("word").mapInArrow(invert, "word string, own string, term string, restored string, written string, read string, strong boolean, changed int, common int, final boolean, sure boolean")
     lost = counts.where(F.col("n") >= LEAST).mapInArrow(lose, "own string, n long").groupBy("own").agg(F.max("n").alias("of"))
     far = F.col("of") >= F.greatest(F.lit(LEAST), RATIO * F.coalesce("mine", F.lit(0)))
@@ -304,6 +315,25 @@ def garbled_words(counts: DataFrame, model: Classifier) -> DataFrame:
     return both.select("word", "b.restored", "b.written", "b.read", (F.coalesce("b.strong", F.lit(False)) | F.coalesce("lossy", F.lit(False))).alias("strong"), F.coalesce("b.changed", F.lit(1)).alias("changed"), F.coalesce("b.sure", F.lit(False)).alias("sure"))
 
 
+def _slot(sums: np.ndarray) -> np.ndarray:
+    return (sums >> np.uint64(64 - SUM_BITS)).astype(np.int64)
+
+
+def _bitmap(known: DataFrame) -> bytes:
+    """One bit for the letter sum of each term of ``known``; collected as 2**(SUM_BITS - 15) rows at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = np.array([chains.letters(EDGE).of(t) for t in batch.column(0).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(_slot(sums))], names=["slot"])
+
+    slots = known.select("term").mapInArrow(run, "slot long").groupBy(F.shiftright("slot", 15).alias("block"))
+    out = bytearray(1 << (SUM_BITS - 3))
+    for row in slots.agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND((1 << 15) - 1)).alias("bits")).collect():
+        out[row.block << 12 : row.block + 1 << 12] = row.bits
+    return bytes(out)
+
+
 def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([terms(w)[0] for w in batch.column(0).to_pylist()], pa.string())], names=["word", "own"])
@@ -344,12 +374,12 @@ def find(documents: DataFrame, train_words: int = TRAIN_WORDS) -> Garbled:
 def restore(documents: DataFrame, garbled: Garbled) -> DataFrame:
     """(doc_id, restored, written, read, complete) of the found documents.
 
-    ``written`` and ``read`` name the chain that explains most of the document's garbled words. Lines
-    with such words, and all lines if most words beyond ASCII are garbled, are inverted strictly by it;
-    where a line does not invert, its words do one by one. ``complete`` says that nothing known to be
-    garbled was left.
+    ``written`` and ``read`` name the chain of the document: of those that explain most of its garbled
+    words, the one its words are likeliest under. Only garbled words are changed, and whole lines of
+    them; all else stays as it is, to the byte. ``complete`` says that nothing known to be garbled was left.
     """
-    ship(documents.sparkSession)
+    spark = ship(documents.sparkSession)
+    table = spark.sparkContext.broadcast(garbled.model)  # a fixed number of classes and hash buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,7 +387,8 @@ def restore(documents: DataFrame, garbled: Garbled) -> DataFrame:
             for doc, text, found in zip(batch.column(0).to_pylist(), strings(batch.column(1)), batch.column(2).to_pylist()):
                 found = found or []
                 swap = {w["word"]: w["restored"] for w in found if w["restored"] is not None}
-                out, chain = restored(normal(text or ""), swap, {(w["written"], w["read"]) for w in found if w["restored"] is not None})
+                tried = {(w["written"], w["read"]) for w in found if w["restored"] is not None}
+                out, chain = restored(text or "", swap, tried, table.value)
                 rows.append((doc, out, *chain, len(swap) == len(found) and not marks(out)))
             kinds = [batch.schema.field(0).type, pa.string(), pa.string(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 5, kinds)], names=["doc_id", "restored", "written", "read", "complete"])
@@ -366,26 +397,60 @@ def restore(documents: DataFrame, garbled: Garbled) -> DataFrame:
     return joined.mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, restored string, written string, read string, complete boolean")
 
 
-def restored(text: str, swap: dict[str, str], tried: set[tuple[str, str]]) -> tuple[str, tuple[str | None, str | None]]:
-    """(the text with its garbled words and lines inverted, the chain that explains most of ``swap``)."""
+def chain_of(swap: dict[str, str], tried: set[tuple[str, str]], model: Classifier) -> tuple[tuple[str, str], int]:
+    """(chain, how often it was gone through) of the garbled words ``swap``."""
+    likely = model.of_words(sorted(swap))
+    options = []
+    for c in tried:
+        for depth in range(1, chains.DEPTH + 1 if c[0] == "utf-8" else 2):
+            explained = sum((o := chains.unwound(w, c, depth)) is not None and unicodedata.normalize("NFC", o) == own for w, own in swap.items())
+            options.append((explained, -depth, float(likely[chains.CHAINS.index(c)]), c))
+    _, less, _, chain = max(options)
+    return chain, -less
+
+
+def restored(text: str, swap: dict[str, str], tried: set[tuple[str, str]], model: Classifier) -> tuple[str, tuple[str | None, str | None]]:
+    """(the text with its garbled words and lines inverted, its chain); what is not garbled stays as it is."""
+    mark = next((m for m in chains.MARKS_UTF8 if text.startswith(m)), "")
+    text = "\ufeff" * bool(mark) + text[len(mark) :]
     if not swap:
         return text, (None, None)
-    options = [(sum(chains.unwound(w, c, d) == o for w, o in swap.items()), -d, -chains.CHAINS.index(c), c) for c in tried for d in range(1, chains.DEPTH + 1 if c[0] == "utf-8" else 2)]
-    _, less, _, chain = max(options)
+    chain, depth = chain_of(swap, tried, model)
     whole = 2 * len(swap) > len(words(text))
+    composed = lambda s: None if s is None else unicodedata.normalize("NFC", s)
 
     def line(s: str) -> str:
-        own = [] if s.isascii() else [w for w in words(s) if w in swap]
-        if s.isascii() or not (own or whole):
+        if s.isascii() and "&" not in s:
+            return s
+        beyond = words(s)
+        own = [w for w in beyond if w in swap]
+        if not (own or whole):
             return s
-        o = chains.unwound(s, chain, -less)
-        if o is not None and all(swap[w] in o for w in own):
-            return o
-        return "".join(p if p.isascii() else piece(p) for p in re.split(f"({_SPLIT.pattern})", s))
+        if not s.isascii() and (whole or len(own) == len(beyond)):
+            o = chains.unwound(s, chain, depth)
+            if o is not None and all(swap[w] in composed(o) for w in own):
+                return o
+        return "".join(p if p.isascii() and "&" not in p else piece(p) for p in re.split(f"({_SPLIT.pattern})", s))
 
     def piece(p: str) -> str:
-        w = p.strip(ASCII_EDGE)
-        o = swap.get(w) or (chains.unwound(w, chain, -less) if whole else None)
-        return p if o is None else p.replace(w, o, 1)
+        for w in words(p):
+            o = chains.unwound(w, chain, depth) if whole or composed(chains.unwound(w, chain, depth)) == swap.get(w) else None
+            o = swap.get(w) if o is None else o
+            if o is not None and (span := _span(p, w)):
+                p = p[: span[0]] + o + p[span[1] :]
+        return p
 
     return "\n".join(line(s) for s in text.split("\n")), chain
+
+
+def _span(p: str, word: str) -> tuple[int, int] | None:
+    """Where in ``p`` the word stands, as it is or written with entities or uncomposed."""
+    if (at := p.find(word)) >= 0:
+        return at, at + len(word)
+    if normal(p) == p:
+        return None
+    spans = ((i, i + n) for n in range(len(word), len(p) + 1) for i in range(len(p) - n + 1))
+    found = next(((i, j) for i, j in spans if normal(p[i:j]) == word), None)
+    if found and normal(p[found[0] : found[1] + 1]) == word:  # an entity may end without its semicolon
+        return found[0], found[1] + 1
+    return found
