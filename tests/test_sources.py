@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 
@@ -35,7 +36,7 @@ def test_segments_roll_and_replay(tmp_path):
 
 def test_torn_tail_and_corruption(tmp_path):
     codec.write_segments(str(tmp_path), records(3))
-    path = codec.segment_path(str(tmp_path), 1)
+    path = Path(codec.segment_path(str(tmp_path), 1))
     whole = path.read_bytes()
     for cut in (4, 30):
         path.write_bytes(whole[:-cut])
@@ -84,14 +85,80 @@ def test_spark_sources(spark, tmp_path):
     assert [bytes(r.value) for r in t.where("key = X'61'").collect()] == [b"1"]
 
 
+def test_records_longer_than_a_chunk(tmp_path):
+    rows = [(1, i, b"key%d" % i, bytes(rnd)) for i, rnd in enumerate((0, 3, 5000, 70, 9000))]
+    codec.write_segments(f"file://{tmp_path}", rows)
+    raw = Path(codec.segment_path(str(tmp_path), 1)).read_bytes()[8:]
+    import io
+
+    for chunk in (1, 100, 4000, 1 << 20):
+        assert list(codec.decode_stream(io.BytesIO(raw), len(raw), chunk=chunk)) == rows
+    assert codec.read_segment(codec.segment_path(f"file://{tmp_path}", 1)) == rows
+
+
+def test_a_lookup_reads_one_block(tmp_path):
+    entries = [(b"k%04d" % i, None if i % 9 == 0 else b"v" * 50, i, i % 9 == 0) for i in range(2000)]
+    size = codec.write_table(tmp_path / "000001.sst", entries, 512)
+    t = codec.TableFile(tmp_path / "000001.sst")
+    read = []
+
+    class Counting:
+        def __init__(self, f):
+            self.f = f
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def read(self, n):
+            read.append(n)
+            return self.f.read(n)
+
+    t.file = Counting(t.file)
+    for i in (0, 1, 777, 1998, 1999):
+        assert t.get(b"k%04d" % i) == entries[i]
+    assert sum(read) < 5 * 700 < size and t.counters == {"bloom_checks": 5, "bloom_skips": 0, "block_reads": 5}
+    for i in range(300):
+        assert t.get(b"absent%d" % i) is None
+    assert t.get(b"") is None and t.counters["bloom_skips"] > 280
+
+
+def test_tables_written_and_looked_up_by_spark(spark, tmp_path):
+    rows = [(i % 3, b"k%03d" % (i // 2), i, i % 7 == 0) for i in range(300)]
+    best = {}
+    for l, k, s, t in rows:
+        best[l, k] = (s, t)
+    data = [(l, k, None if t else b"v%d" % s, s, t) for (l, k), (s, t) in best.items()]
+    datasource.write_tables(spark.createDataFrame(data, "layer_id long, key binary, value binary, seq_no long, tombstone boolean"), str(tmp_path), 256)
+    back = spark.read.format("kvsst").load(str(tmp_path))
+    plain = lambda r: (r.layer_id, bytes(r.key), None if r.value is None else bytes(r.value), r.seq_no, r.tombstone)
+    assert sorted(map(plain, back.collect())) == sorted(data)
+    assert sorted(map(plain, back.where("key in (X'6B303035', X'6B303036', X'00')").collect())) == sorted(d for d in data if d[1] in (b"k005", b"k006"))
+    asked = spark.createDataFrame([(b"k005",), (b"none",), (b"k005",), (None,)], "key binary")
+    got = datasource.point_reads(asked, str(tmp_path)).collect()
+    newest = max(d for d in data if d[1] == b"k005")
+    assert [(r.layer_id, r.seq_no) for r in got if r.key is not None and bytes(r.key) == b"k005"] == [(newest[0], newest[3])] * 2
+    assert [(r.layer_id, r.bloom_checks) for r in got if r.key is None or bytes(r.key) == b"none"] == [(None, 3), (None, 0)]
+    with pytest.raises(Exception, match="written twice"):
+        datasource.write_tables(spark.createDataFrame(data[:1], "layer_id long, key binary, value binary, seq_no long, tombstone boolean"), str(tmp_path))
+
+
+def test_a_folder_that_is_not_shared_is_noticed(tmp_path):
+    w = datasource.LogWriter({"path": str(tmp_path)})
+    m = w.write([{"op": 1, "seq_no": 1, "key": b"k", "value": b"v"}])
+    for f in Path(m.part).iterdir():
+        f.unlink()
+    with pytest.raises(Corruption):
+        w.commit([m])
+
+
 def test_spark_source_torn_tail(spark, tmp_path):
     datasource.register(spark)
     for part in (records(5), records(4)):
         codec.write_segments(str(tmp_path), part)
-    last = codec.segment_path(str(tmp_path), 2)
+    last = Path(codec.segment_path(str(tmp_path), 2))
     last.write_bytes(last.read_bytes()[:-1])
     assert spark.read.format("kvwal").load(str(tmp_path)).count() == 8
-    first = codec.segment_path(str(tmp_path), 1)
+    first = Path(codec.segment_path(str(tmp_path), 1))
     first.write_bytes(first.read_bytes()[:-1])
     with pytest.raises(Exception, match="cut off"):
         spark.read.format("kvwal").load(str(tmp_path)).count()

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import bisect
+import io
 import struct
-from collections.abc import Iterable, Iterator
-from pathlib import Path
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 
 from tidelog.functions import hashing
 from tidelog.schema import DEL, PUT, Corruption, InvalidArgument
+from tidelog.sources import files
 
 # Segment header, record layout and limits of the formats.
 MAGIC, VERSION = 0x4C534D57, 1
 SEGMENT_HEADER = struct.Struct("<IB3x")
 RECORD = struct.Struct("<BQIII")
-INDEX_ENTRY, OFFSET = struct.Struct("<I"), struct.Struct("<Q")
+INDEX_ENTRY, OFFSET, FOOTER = struct.Struct("<I"), struct.Struct("<Q"), struct.Struct("<QQ")
 MAX_PAYLOAD = 64 << 20
 
+#: So much of a file is held in memory when its records are streamed.
+CHUNK = 4 << 20
+
 
 def check_record(op: int, seq_no: int, key: bytes | None, value: bytes | None) -> None:
     """Raise InvalidArgument for a record that may not be written."""
@@ -34,80 +40,123 @@ def encode(rows: Iterable[tuple[int, int, bytes, bytes | None]]) -> list[bytes]:
     return [h + struct.pack("<I", int(c)) + p for (h, p), c in zip(parts, crcs)]
 
 
-def decode(data: bytes, torn_tail: bool = False) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """The records in ``data``. A torn last record ends it if ``torn_tail``, and is Corruption otherwise."""
-    at, found, whole = 0, [], []
-    while at < len(data):
-        short = len(data) - at < RECORD.size
-        if not short:
-            first, seq, k, v, crc = RECORD.unpack_from(data, at)
-            if k + v > MAX_PAYLOAD:
-                raise Corruption(f"payload of {k + v} bytes at {at}")
-            short = at + RECORD.size + k + v > len(data)
-        if short:
-            if not torn_tail:
-                raise Corruption(f"record cut off at {at}")
-            break
+def whole_records(data: bytes, at: int = 0) -> tuple[list[tuple[int, int, bytes, bytes]], int]:
+    """(the whole records that begin at ``at``, checked, and where they end)."""
+    found, covered = [], []
+    while at + RECORD.size <= len(data):
+        first, seq, k, v, crc = RECORD.unpack_from(data, at)
+        if k + v > MAX_PAYLOAD:
+            raise Corruption(f"payload of {k + v} bytes")
         body = at + RECORD.size
+        if body + k + v > len(data):
+            break
         found.append((first, seq, data[body : body + k], data[body + k : body + k + v], crc))
-        whole.append(data[at : at + 17] + data[body : body + k + v])
+        covered.append(data[at : at + 17] + data[body : body + k + v])
         at = body + k + v
-    for (first, seq, key, value, crc), actual in zip(found, hashing.crc32c(whole)):
+    for (_, seq, _, _, crc), actual in zip(found, hashing.crc32c(covered)):
         if crc != actual:
             raise Corruption(f"checksum of the record with seq_no {seq}")
         if seq >= 1 << 63:
             raise Corruption(f"seq_no {seq} is beyond a signed 64-bit number")
-        yield first, seq, key, value
+    return [r[:4] for r in found], at
+
+
+def decode_stream(file, length: int, torn_tail: bool = False, chunk: int = CHUNK) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """The records in the next ``length`` bytes of an open file, a chunk of it in memory at a time.
+
+    A torn last record ends it if ``torn_tail``, and is Corruption otherwise.
+    """
+    held = b""
+    while length > 0:
+        data = file.read(min(chunk, length))
+        if not data:
+            raise Corruption("the file is shorter than it was")
+        length -= len(data)
+        held += data
+        rows, used = whole_records(held)
+        held = held[used:]
+        yield from rows
+    if held and not torn_tail:
+        raise Corruption(f"record cut off, {len(held)} bytes left")
+
+
+def decode(data: bytes, torn_tail: bool = False) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """The records in ``data``, as decode_stream."""
+    return decode_stream(io.BytesIO(data), len(data), torn_tail)
 
 
 def segment_ids(folder: str) -> list[int]:
     """The numbers of the log segments in ``folder``, ascending; other files are ignored."""
-    p = Path(folder)
-    stems = [f.stem for f in p.iterdir() if f.is_file() and f.suffix == ".wal"] if p.is_dir() else []
+    stems = [n.removesuffix(".wal") for n in files.names(folder) if n.endswith(".wal")]
     return sorted(int(s) for s in stems if s.isascii() and s.isdigit() and int(s) > 0)
 
 
-def segment_path(folder: str, number: int) -> Path:
-    return Path(folder) / f"{number:06d}.wal"
+def segment_path(folder: str, number: int) -> str:
+    return f"{str(folder).rstrip('/')}/{number:06d}.wal"
 
 
-def read_segment(path: str | Path, torn_tail: bool = False) -> list[tuple[int, int, bytes, bytes | None]]:
+def stream_segment(path: str, torn_tail: bool = False) -> Iterator[tuple[int, int, bytes, bytes | None]]:
     """(op, seq_no, key, value) of one segment; the file is never changed."""
-    data = Path(path).read_bytes()
-    if len(data) < SEGMENT_HEADER.size:
-        raise Corruption(f"{path}: smaller than a header")
-    magic, version = SEGMENT_HEADER.unpack_from(data)
-    if magic != MAGIC or version != VERSION:
-        raise Corruption(f"{path}: magic {magic:x}, version {version}")
-    rows = []
-    for op, seq, key, value in decode(data[SEGMENT_HEADER.size :], torn_tail):
-        if op not in (PUT, DEL) or not key or (op == DEL and value):
-            raise Corruption(f"{path}: invalid record with seq_no {seq}")
-        rows.append((op, seq, key, None if op == DEL else value))
-    return rows
+    size = files.size(path)
+    with files.open_read(path) as f:
+        head = f.read(SEGMENT_HEADER.size)
+        if len(head) < SEGMENT_HEADER.size:
+            raise Corruption(f"{path}: smaller than a header")
+        magic, version = SEGMENT_HEADER.unpack(head)
+        if magic != MAGIC or version != VERSION:
+            raise Corruption(f"{path}: magic {magic:x}, version {version}")
+        for op, seq, key, value in decode_stream(f, size - SEGMENT_HEADER.size, torn_tail):
+            if op not in (PUT, DEL) or not key or (op == DEL and value):
+                raise Corruption(f"{path}: invalid record with seq_no {seq}")
+            yield op, seq, key, None if op == DEL else value
+
+
+def read_segment(path: str, torn_tail: bool = False) -> list[tuple[int, int, bytes, bytes | None]]:
+    return list(stream_segment(path, torn_tail))
+
+
+class SegmentWriter:
+    """Appends records as new segments of ``folder``, a new one whenever the next record would pass ``roll_bytes``."""
+
+    def __init__(self, folder: str, roll_bytes: int = 64 << 20, first: int | None = None):
+        self.folder, self.roll_bytes, self.made = folder, roll_bytes, []
+        self.number = max(segment_ids(folder), default=0) if first is None else first - 1
+        self.out, self.size = None, 0
+
+    def write(self, rows: Sequence[tuple[int, int, bytes, bytes | None]]) -> None:
+        for r in rows:
+            check_record(*r)
+        for record in encode(rows):
+            if self.out is None or (self.size > SEGMENT_HEADER.size and self.size + len(record) > self.roll_bytes):
+                self.close()
+                self.number += 1
+                self.made.append(self.number)
+                self.out = files.open_write(segment_path(self.folder, self.number))
+                self.size = self.out.write(SEGMENT_HEADER.pack(MAGIC, VERSION))
+            self.size += self.out.write(record)
+
+    def close(self) -> None:
+        if self.out:
+            self.out.close()
+        self.out = None
+
+
+def batched(rows: Iterable, n: int = 1024) -> Iterator[list]:
+    it = iter(rows)
+    while part := list(islice(it, n)):
+        yield part
 
 
 def write_segments(folder: str, rows: Iterable[tuple[int, int, bytes, bytes | None]], roll_bytes: int = 64 << 20) -> list[int]:
-    """Append records as new segments, a new one whenever the next record would pass ``roll_bytes``."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    rows = list(rows)
-    for r in rows:
-        check_record(*r)
-    number, made, out, size = max(segment_ids(folder), default=0), [], None, 0
+    """Append records as new segments; their numbers."""
+    files.make_folder(folder)
+    w = SegmentWriter(folder, roll_bytes)
     try:
-        for record in encode(rows):
-            if out is None or (size > SEGMENT_HEADER.size and size + len(record) > roll_bytes):
-                if out:
-                    out.close()
-                number += 1
-                made.append(number)
-                out = segment_path(folder, number).open("xb")
-                size = out.write(SEGMENT_HEADER.pack(MAGIC, VERSION))
-            size += out.write(record)
+        for part in batched(rows):
+            w.write(part)
     finally:
-        if out:
-            out.close()
-    return made
+        w.close()
+    return w.made
 
 
 def bloom_bytes(keys: list[bytes], fp_rate: float) -> bytes:
@@ -124,7 +173,7 @@ def bloom_bytes(keys: list[bytes], fp_rate: float) -> bytes:
     return struct.pack("<QQ", m, k) + np.packbits(cells, bitorder="little").tobytes()
 
 
-def write_table(path: str | Path, entries: Iterable[tuple[bytes, bytes | None, int, bool]], block_size: int = 8192, fp_rate: float = 0.01) -> int:
+def write_table(path: str, entries: Iterable[tuple[bytes, bytes | None, int, bool]], block_size: int = 8192, fp_rate: float = 0.01) -> int:
     """One sorted table from (key, value, seq_no, tombstone); written aside and renamed. Returns its size."""
     rows = sorted(entries, key=lambda e: e[0])
     records = encode((int(t), s, k, None if t else v) for k, v, s, t in rows)
@@ -137,39 +186,88 @@ def write_table(path: str | Path, entries: Iterable[tuple[bytes, bytes | None, i
         if offset - start >= block_size:
             start = None
     blocks = b"".join(index)
-    data = b"".join(records) + blocks + bloom_bytes([r[0] for r in rows], fp_rate) + struct.pack("<QQ", offset, offset + len(blocks))
-    aside = Path(str(path) + ".tmp")
-    aside.write_bytes(data)
-    aside.replace(path)
+    data = b"".join(records) + blocks + bloom_bytes([r[0] for r in rows], fp_rate) + FOOTER.pack(offset, offset + len(blocks))
+    with files.open_write(str(path) + ".tmp") as f:
+        f.write(data)
+    files.move(str(path) + ".tmp", path)
     return len(data)
 
 
-def read_table(path: str | Path) -> tuple[list[tuple[bytes, bytes | None, int, bool]], list[tuple[bytes, int]], bytes]:
-    """(entries in key order, block index, Bloom bytes) of a table file; any inconsistency is Corruption."""
-    data = Path(path).read_bytes()
-    if len(data) < 16:
-        raise Corruption(f"{path}: too small")
-    at, bloom_at = struct.unpack("<QQ", data[-16:])
-    if not at <= bloom_at <= len(data) - 16:
-        raise Corruption(f"{path}: footer offsets")
-    bloom = data[bloom_at:-16]
-    m, k = struct.unpack_from("<QQ", bloom) if len(bloom) >= 16 else (0, 0)
-    if m == 0 or m % 8 or k == 0 or len(bloom) - 16 != m // 8:
-        raise Corruption(f"{path}: Bloom filter")
-    index, raw, i = [], data[at:bloom_at], 0
-    while i < len(raw):
-        n = INDEX_ENTRY.unpack_from(raw, i)[0] if i + 4 <= len(raw) else len(raw)
-        if i + 12 + n > len(raw):
-            raise Corruption(f"{path}: index cut off")
-        index.append((raw[i + 4 : i + 4 + n], OFFSET.unpack_from(raw, i + 4 + n)[0]))
-        i += 12 + n
-    if index and index[0][1] != 0:
-        raise Corruption(f"{path}: index does not start at 0")
-    for (k0, o0), (k1, o1) in zip(index, index[1:]):
-        if k1 <= k0 or o1 <= o0:
-            raise Corruption(f"{path}: index is not increasing")
-    if index and index[-1][1] >= at:
-        raise Corruption(f"{path}: index beyond the data")
-    entries = [(key, None if flags & 1 else value, seq, bool(flags & 1)) for flags, seq, key, value in decode(data[:at])]
-    return entries, index, bloom
+class TableFile:
+    """One table file, opened: its footer, block index and Bloom filter are read and checked; entries stay where they are.
+
+    ``counters`` counts filter checks, filter skips and block reads of the lookups.
+    """
+
+    def __init__(self, path: str):
+        self.path, self.file = str(path), files.open_read(path)
+        self.counters = {"bloom_checks": 0, "bloom_skips": 0, "block_reads": 0}
+        end = self.file.size() - FOOTER.size
+        if end < 0:
+            raise Corruption(f"{path}: too small")
+        self.data_end, bloom_at = FOOTER.unpack(files.read_range(self.file, end, FOOTER.size))
+        if not self.data_end <= bloom_at <= end:
+            raise Corruption(f"{path}: footer offsets")
+        self.bloom = files.read_range(self.file, bloom_at, end - bloom_at)
+        self.m, self.k = struct.unpack_from("<QQ", self.bloom) if len(self.bloom) >= 16 else (0, 0)
+        if self.m == 0 or self.m % 8 or self.k == 0 or len(self.bloom) - 16 != self.m // 8:
+            raise Corruption(f"{path}: Bloom filter")
+        self.index = self._index(files.read_range(self.file, self.data_end, bloom_at - self.data_end))
+
+    def _index(self, raw: bytes) -> list[tuple[bytes, int]]:
+        index, i = [], 0
+        while i < len(raw):
+            n = INDEX_ENTRY.unpack_from(raw, i)[0] if i + 4 <= len(raw) else len(raw)
+            if i + 12 + n > len(raw):
+                raise Corruption(f"{self.path}: index cut off")
+            index.append((raw[i + 4 : i + 4 + n], OFFSET.unpack_from(raw, i + 4 + n)[0]))
+            i += 12 + n
+        if index and index[0][1] != 0:
+            raise Corruption(f"{self.path}: index does not start at 0")
+        for (k0, o0), (k1, o1) in zip(index, index[1:]):
+            if k1 <= k0 or o1 <= o0:
+                raise Corruption(f"{self.path}: index is not increasing")
+        if index and index[-1][1] >= self.data_end:
+            raise Corruption(f"{self.path}: index beyond the data")
+        return index
 
+    def scan(self) -> Iterator[tuple[bytes, bytes | None, int, bool]]:
+        """Every (key, value, seq_no, tombstone) in key order, a chunk of the file in memory at a time."""
+        self.file.seek(0)
+        for flags, seq, key, value in decode_stream(self.file, self.data_end):
+            yield key, None if flags & 1 else value, seq, bool(flags & 1)
+
+    def maybe(self, key: bytes) -> bool:
+        """Whether the filter lets the key pass."""
+        h1, h2 = (int(h[0]) for h in hashing.bloom_hashes([key]))
+        at = ((h1 + i * h2) % (1 << 64) % self.m for i in range(self.k))
+        return all(self.bloom[16 + (p >> 3)] >> (p & 7) & 1 for p in at)
+
+    def get(self, key: bytes) -> tuple[bytes, bytes | None, int, bool] | None:
+        """The entry of ``key``, read by the filter, the index and the one block that may hold it."""
+        self.counters["bloom_checks"] += 1
+        if not self.maybe(key):
+            self.counters["bloom_skips"] += 1
+            return None
+        self.counters["block_reads"] += 1
+        block = bisect.bisect_right(self.index, key, key=lambda e: e[0]) - 1
+        if block < 0:
+            return None
+        start = self.index[block][1]
+        end = self.index[block + 1][1] if block + 1 < len(self.index) else self.data_end
+        for flags, seq, k, value in decode(files.read_range(self.file, start, end - start)):
+            if k == key:
+                return k, None if flags & 1 else value, seq, bool(flags & 1)
+        return None
+
+    def close(self) -> None:
+        self.file.close()
+
+
+def read_table(path: str) -> tuple[list[tuple[bytes, bytes | None, int, bool]], list[tuple[bytes, int]], bytes]:
+    """(entries in key order, block index, Bloom bytes) of a table file; any inconsistency is Corruption."""
+    t = TableFile(path)
+    try:
+        return list(t.scan()), t.index, t.bloom
+    finally:
+        t.close()

@@ -1,19 +1,25 @@
 """Spark data sources for the store's own files: ``kvwal`` (log segments) and ``kvsst`` (sorted tables).
 
-One input partition per file. ``kvwal`` reads a folder of segments; only the last may have a torn
-tail (``mode=FAILFAST``, the default), or any (``mode=PERMISSIVE``). Files are never changed.
+One input partition per file, streamed. ``kvwal`` reads a folder of segments; only the last may have a
+torn tail (``mode=FAILFAST``, the default), or any (``mode=PERMISSIVE``). Files are never changed. Folders
+may lie on any file system pyarrow can reach; what tasks write is looked for by the commit, which fails if the
+folder is not one that all machines share.
 """
 
 from __future__ import annotations
 
-from pathlib import Path
+import uuid
+from collections.abc import Iterator
+from itertools import groupby
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
-from tidelog.schema import DEL
+from tidelog.schema import DEL, Corruption
 from tidelog.session import ship
-from tidelog.sources import codec
+from tidelog.sources import codec, files
 
 
 class LogSource(DataSource):
@@ -41,39 +47,59 @@ class LogReader(DataSourceReader):
 
     def read(self, partition: InputPartition):
         number, torn = partition.value
-        for op, seq, key, value in codec.read_segment(codec.segment_path(self.folder, number), torn):
+        for op, seq, key, value in codec.stream_segment(codec.segment_path(self.folder, number), torn):
             yield number, seq, op, key, value
 
 
-class LogWriter(DataSourceWriter):
-    """Each task writes segments into a folder of its own; the commit numbers them after the existing ones."""
+class PartWriter(DataSourceWriter):
+    """Tasks write into folders of their own; the commit moves their files to their places."""
 
     def __init__(self, options: dict) -> None:
-        self.folder, self.roll = options["path"], int(options.get("rollBytes", 64 << 20))
+        self.folder, self.options = options["path"].rstrip("/"), dict(options)
 
     def write(self, rows) -> WriterCommitMessage:
-        import uuid
-
         part = f"{self.folder}/_tmp-{uuid.uuid4().hex}"
-        records = [(r["op"], r["seq_no"], bytes(r["key"] or b""), None if r["op"] == DEL and not r["value"] else bytes(r["value"] or b"")) for r in rows]
-        codec.write_segments(part, records, self.roll)
+        files.make_folder(part)
         message = WriterCommitMessage()
-        message.part, message.first = part, min((r[1] for r in records), default=-1)
+        message.part, message.made, message.order = part, *self.write_part(part, rows)
         return message
 
+    def moves(self, messages: list) -> list[tuple[str, str]]:
+        raise NotImplementedError
+
     def commit(self, messages) -> None:
-        number = max(codec.segment_ids(self.folder), default=0)
-        for m in sorted((m for m in messages if m is not None), key=lambda m: m.first):
-            for i in codec.segment_ids(m.part):
-                number += 1
-                codec.segment_path(m.part, i).rename(codec.segment_path(self.folder, number))
-            Path(m.part).rmdir()
+        messages = [m for m in messages if m is not None]
+        for m in messages:
+            if lost := set(m.made) - files.names(m.part).keys():
+                raise Corruption(f"{sorted(lost)} written to {m.part} cannot be seen from here: is the folder shared?")
+        for source, target in self.moves(sorted(messages, key=lambda m: m.order)):
+            files.move(source, target)
+        self.abort(messages)
 
     def abort(self, messages) -> None:
         for m in (m for m in messages if m is not None):
-            for f in Path(m.part).iterdir():
-                f.unlink()
-            Path(m.part).rmdir()
+            files.remove_folder(m.part)
+
+
+class LogWriter(PartWriter):
+    """Segments get the next free numbers, tasks in the order of their first sequence numbers."""
+
+    def write_part(self, part: str, rows) -> tuple[list[str], int]:
+        first = -1
+
+        def records() -> Iterator[tuple]:
+            nonlocal first
+            for r in rows:
+                first = r["seq_no"] if first < 0 else min(first, r["seq_no"])
+                yield r["op"], r["seq_no"], bytes(r["key"] or b""), None if r["op"] == DEL and not r["value"] else bytes(r["value"] or b"")
+
+        made = codec.write_segments(part, records(), int(self.options.get("rollbytes", self.options.get("rollBytes", 64 << 20))))
+        return [f"{i:06d}.wal" for i in made], first
+
+    def moves(self, messages: list) -> list[tuple[str, str]]:
+        number = max(codec.segment_ids(self.folder), default=0)
+        own = [f"{m.part}/{name}" for m in messages for name in m.made]
+        return [(source, codec.segment_path(self.folder, number + i + 1)) for i, source in enumerate(own)]
 
 
 class TableSource(DataSource):
@@ -87,29 +113,105 @@ class TableSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return TableReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return TableWriter(self.options)
+
+
+def table_path(folder: str, number: int) -> str:
+    return f"{folder.rstrip('/')}/{number:06d}.sst"
+
+
+def table_ids(folder: str) -> list[int]:
+    """The numbers of the tables in ``folder``, ascending."""
+    stems = [n.removesuffix(".sst") for n in files.names(folder) if n.endswith(".sst")]
+    return sorted(int(s) for s in stems if s.isascii() and s.isdigit())
+
 
 class TableReader(DataSourceReader):
-    """Equality on the key reaches the reader; other filters are left to Spark."""
+    """Equality and IN on the key reach the reader, which then looks the keys up; other filters are left to Spark."""
 
     def __init__(self, options: dict) -> None:
-        self.folder, self.key = options["path"], None
+        self.folder, self.keys = options["path"], None
 
     def pushFilters(self, filters):
         for f in filters:
             if isinstance(f, EqualTo) and f.attribute == ("key",):
-                self.key = bytes(f.value)
+                self.keys = [bytes(f.value)]
+            elif isinstance(f, In) and f.attribute == ("key",):
+                self.keys = sorted({bytes(v) for v in f.value if v is not None})
             yield f
 
     def partitions(self) -> list[InputPartition]:
-        files = [p for p in Path(self.folder).glob("*.sst") if p.stem.isdigit()]
-        return [InputPartition(str(p)) for p in sorted(files)]
+        return [InputPartition(i) for i in table_ids(self.folder)]
 
     def read(self, partition: InputPartition):
-        entries, _, _ = codec.read_table(partition.value)
-        number = int(Path(partition.value).stem)
-        for key, value, seq, tombstone in entries:
-            if self.key is None or key == self.key:
-                yield number, key, value, seq, tombstone
+        table = codec.TableFile(table_path(self.folder, partition.value))
+        found = table.scan() if self.keys is None else (e for e in map(table.get, self.keys) if e is not None)
+        for key, value, seq, tombstone in found:
+            yield partition.value, key, value, seq, tombstone
+        table.close()
+
+
+class TableWriter(PartWriter):
+    """One table per layer_id. A layer's rows must come together in one task, as write_tables sees to it."""
+
+    def write_part(self, part: str, rows) -> tuple[list[str], int]:
+        made = []
+        for layer, own in groupby(rows, key=lambda r: r["layer_id"]):
+            entries = [(bytes(r["key"]), None if r["tombstone"] else bytes(r["value"] or b""), r["seq_no"], r["tombstone"]) for r in own]
+            name = table_path("", layer).lstrip("/")
+            if name in made:
+                raise Corruption(f"rows of layer {layer} are not together")
+            codec.write_table(f"{part}/{name}", entries, int(self.options.get("blocksize", 8192)), float(self.options.get("fprate", 0.01)))
+            made.append(name)
+        return made, 0
+
+    def moves(self, messages: list) -> list[tuple[str, str]]:
+        own = [(f"{m.part}/{name}", f"{self.folder}/{name}") for m in messages for name in m.made]
+        if len({t for _, t in own}) < len(own) or any(t.rsplit("/", 1)[1] in files.names(self.folder) for _, t in own):
+            raise Corruption("a layer was written twice")
+        return own
+
+
+def write_tables(entries: DataFrame, folder: str, block_size: int = 8192, fp_rate: float = 0.01) -> None:
+    """Write (layer_id, key, value, seq_no, tombstone) as one table file per layer; a layer is bounded by the memtable limit."""
+    register(entries.sparkSession)
+    together = entries.select("layer_id", "key", "value", "seq_no", "tombstone").repartition("layer_id").sortWithinPartitions("layer_id", "key")
+    together.write.format("kvsst").mode("append").option("path", folder).option("blockSize", block_size).option("fpRate", fp_rate).save()
+
+
+def point_reads(requests: DataFrame, folder: str) -> DataFrame:
+    """(key, layer_id, value, seq_no, tombstone, bloom_checks, bloom_skips, block_reads) of looking every ``key`` up.
+
+    A lookup asks the tables of ``folder`` from the newest on and stops at the first that holds the
+    key, tombstones included; keys that none holds have a null layer_id. A task opens each table once: footer,
+    index and filter stay with it, entries are read block by block. Tables are few, since writes stall
+    beyond a limit. Null keys are in no table.
+    """
+    register(requests.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables: dict[int, codec.TableFile] = {}
+        newest = table_ids(folder)[::-1]
+        for batch in batches:
+            rows = []
+            for key in batch["key"]:
+                before = {i: dict(t.counters) for i, t in tables.items()}
+                found, at = None, None
+                for at in newest if key is not None else ():
+                    if at not in tables:
+                        tables[at] = codec.TableFile(table_path(folder, at))
+                    if (found := tables[at].get(bytes(key))) is not None:
+                        break
+                used = [sum(t.counters[c] - before.get(i, {}).get(c, 0) for i, t in tables.items()) for c in ("bloom_checks", "bloom_skips", "block_reads")]
+                rows.append((key, *((at, found[1], found[2], found[3]) if found else (None,) * 4), *used))
+            out = pd.DataFrame(rows, columns=["key", "layer_id", "value", "seq_no", "tombstone", "bloom_checks", "bloom_skips", "block_reads"])
+            yield out.astype({"layer_id": "Int64", "seq_no": "Int64", "tombstone": "boolean"})
+        for t in tables.values():
+            t.close()
+
+    schema = "key binary, layer_id long, value binary, seq_no long, tombstone boolean, bloom_checks long, bloom_skips long, block_reads long"
+    return requests.select(F.col("key").cast("binary").alias("key")).mapInPandas(run, schema)
 
 
 def register(spark: SparkSession) -> SparkSession:
