@@ -56,18 +56,33 @@ def test_locate_against_search(spark):
 
 
 def test_rotation_counts_overwrites_once(spark):
-    log = spark.createDataFrame([(i, b"same", b"x" * 10) for i in range(20)] + [(20 + i, b"k%d" % i, b"x" * 10) for i in range(6)], "seq_no long, key binary, value binary")
-    got = layers.assign_rotations(log, 40).orderBy("seq_no").collect()
+    log = spark.createDataFrame([(n, i, b"same", b"x" * 10) for i in range(20) for n in "ab"] + [(n, 20 + i, b"k%d" % i, b"x" * 10) for i in range(6) for n in "ab"], "node string, seq_no long, key binary, value binary")
+    got = layers.assign_rotations(log, 40, ["node"]).where("node = 'b'").orderBy("seq_no").collect()
     assert [r.layer_no for r in got] == [0] * 23 + [1] * 3
 
 
+def test_rotation_against_a_plain_fold(spark):
+    rnd = random.Random(11)
+    data = [(i // 200, i, b"k%d" % rnd.randrange(30), None if rnd.random() < 0.2 else rnd.randbytes(rnd.randrange(40))) for i in range(600)]
+    want, at, no, held = {}, None, 0, {}
+    for s, i, k, v in data:
+        if s != at:
+            at, no, held = s, 0, {}
+        want[i] = no
+        held[k] = len(k) + len(v or b"")
+        if sum(held.values()) >= 300:
+            no, held = no + 1, {}
+    got = layers.assign_rotations(spark.createDataFrame(data, "shard long, seq_no long, key binary, value binary"), 300, ["shard"])
+    assert {r.seq_no: r.layer_no for r in got.collect()} == want and max(want.values()) > 1
+
+
 def test_bloom_is_exact_and_never_misses(spark):
     data = rows()
     params = {r.layer_id: (r.m, r.k) for r in bloom.parameters(flushed(spark, data)).collect()}
     built = bloom.build(flushed(spark, data)).collect()
     for layer, (m, k) in params.items():
         keys = sorted(key for l, key, *_ in data if l == layer)
-        own = bloom.marshal(m, k, {b.byte: b.bits for b in built if b.layer_id == layer})
+        own = bloom.marshal(m, k, {b.block: bytes(b.bits) for b in built if b.layer_id == layer})
         assert own == codec.bloom_bytes(keys, 0.01)
         assert bloom.unmarshal(own)[:2] == (m, k)
     asked = flushed(spark, data).select("layer_id", "key").union(spark.createDataFrame([(0, b"zzz_not_in_file%d" % i) for i in range(200)], "layer_id long, key binary"))
@@ -116,19 +131,20 @@ def test_invalid_filters():
             bloom.unmarshal(struct.pack("<QQ", m, k) + bytes(n))
 
 
-def test_read_metrics_against_lookups(spark):
+def test_read_metrics_against_lookups(spark, tmp_path):
     from tidelog.operators import stats
+    from tidelog.sources import datasource
 
     data = [(0, b"a", 1, 1, b"x"), (1, b"a", 2, 1, b"y"), (1, b"b", 3, 2, None), (2, b"c", 4, 1, b"z")]
-    df = flushed(spark, data)
+    datasource.write_tables(layers.entries(flushed(spark, data)), str(tmp_path))
     asked = spark.createDataFrame([(k,) for k in (b"a", b"b", b"c", b"d", b"a")], "key binary")
-    said = {(r.layer_id, bytes(r.key)): r.maybe for r in bloom.probe(spark.createDataFrame([(l, k) for l in range(3) for k in (b"a", b"b", b"c", b"d")], "layer_id long, key binary"), bloom.build(df), bloom.parameters(df)).collect()}
+    files = {l: codec.TableFile(datasource.table_path(str(tmp_path), l)) for l in range(3)}
     checks = skips = reads = 0
     for k in (b"a", b"b", b"c", b"d"):
         for l in (2, 1, 0):
             checks += 1
-            skips += not said[l, k]
-            reads += said[l, k]
+            skips += not files[l].maybe(k)
+            reads += files[l].maybe(k)
             if (l, k) in {r[:2] for r in data}:
                 break
-    assert tuple(stats.read_metrics(asked, df).first()) == (checks, skips, reads)
+    assert tuple(stats.read_metrics(asked, str(tmp_path)).first()) == (checks, skips, reads)

@@ -1,9 +1,9 @@
 import pytest
 
 from tidelog.operators.store import Store
-from tidelog.schema import InvalidArgument, StorageConfig, StoreClosed, WriteStall
+from tidelog.schema import InvalidArgument, StorageConfig, StoreClosed, TooManyImmutables, WriteStall
 from tidelog.session import new_path
-from tidelog.streaming.fold import StateStream, maintain
+from tidelog.streaming.fold import StateStream
 
 SCHEMA = "ord long, op int, key binary, value binary"
 
@@ -112,8 +112,57 @@ def test_numbering_is_dense_and_ordered(spark):
     assert snapshot.numbered(spark.createDataFrame([], "ord long, key string"), 0).count() == 0
 
 
-def test_maintenance_order():
-    assert maintain(9, 1, 8) == ["flush"] and maintain(9, 0, 8) == ["compact"] and maintain(3, 0, 8) == []
+def test_frozen_tables_and_their_limit(spark):
+    s = Store(spark, new_path(spark, "s"), StorageConfig(memtable_max_bytes=10, max_immutable_tables=2))
+    for i in range(2):
+        write(spark, s, (1, b"k%d" % i, b"x" * 9))
+    assert len(s.doc["immutables"]) == 2 and s.doc["log"] == [] and s.due() == ["flush", "flush"]
+    write(spark, s, (1, b"k2", b"x"))  # not full yet
+    with pytest.raises(TooManyImmutables):
+        write(spark, s, (1, b"k3", b"x" * 9))
+    assert set(held(s)) == {b"k0", b"k1", b"k2", b"k3"} and s.doc["last_seq_no"] == 4  # it is in the log all the same
+    assert s.background() == ["flush"] and [t["min_seq_no"] for t in s.doc["tables"]] == [2, 1]
+    write(spark, s, (1, b"k4", b""))
+    assert len(s.doc["immutables"]) == 1 and set(held(Store(spark, s.path))) == {b"k0", b"k1", b"k2", b"k3", b"k4"}
+
+
+def test_overwrites_do_not_fill_a_table(spark):
+    s = Store(spark, new_path(spark, "s"), StorageConfig(memtable_max_bytes=20))
+    for _ in range(4):
+        write(spark, s, (1, b"same", b"x" * 9))
+    assert s.doc["immutables"] == [] and s.doc["log_bytes"] == 52 and s.stats()["active_bytes"] == 13
+
+
+def test_closing(spark):
+    config = StorageConfig(memtable_max_bytes=4)
+    s = Store(spark, new_path(spark, "s"), config)
+    write(spark, s, (1, b"a", b"1234"))
+    s.close(fast=True)
+    s.close()
+    again = Store(spark, s.path, config)
+    assert len(again.doc["immutables"]) == 1 and held(again) == {b"a": b"1234"}
+    again.close()
+    assert again.doc["immutables"] == [] and len(again.doc["tables"]) == 1
+    assert held(Store(spark, s.path)) == {b"a": b"1234"}
+    with pytest.raises(StoreClosed):
+        write(spark, again, (1, b"b", b""))
+
+
+def test_lookups_read_the_layers_that_may_hold_the_key(spark, tmp_path):
+    s = Store(spark, new_path(spark, "s"))
+    for keys in ((b"a", b"c"), (b"d", b"f"), (b"a", b"z")):
+        write(spark, s, *[(1, k, k) for k in keys])
+        s.flush()
+    assert [bytes(r.value) for r in s.get(b"d").collect()] == [b"d"]
+    c = s.stats()
+    assert (c["gets"], c["range_skips"], c["table_reads"]) == (1, 1, 2)
+    write(spark, s, (2, b"d", None), (1, b"new", b"n"))
+    assert s.get(b"d").collect() == []
+    s.export(str(tmp_path))
+    tables = spark.read.format("kvsst").load(str(tmp_path))
+    assert sorted((r.layer_id, bytes(r.key)) for r in tables.collect()) == [(1, b"a"), (1, b"c"), (2, b"d"), (2, b"f"), (3, b"a"), (3, b"z")]
+    log = spark.read.format("kvwal").load(str(tmp_path))
+    assert sorted((r.seq_no, r.op, bytes(r.key)) for r in log.collect()) == [(7, 2, b"d"), (8, 1, b"new")]
 
 
 def test_background_work_and_status(spark):
@@ -132,7 +181,7 @@ def test_background_work_and_status(spark):
         raise OSError("disk")
 
     write(spark, s, (1, b"d", b"12345"))
-    s.flush = fail
+    s.drain = fail
     assert s.background() == [] and s.background_status()["last_error"] == "flush: disk"
     assert s.stats()["engine_status"] == "degraded: flush: disk"
 

@@ -66,27 +66,36 @@ def positions(rows: DataFrame) -> DataFrame:
     return rows.select("layer_id", "key", F.col("key").cast("binary").alias("b"), "m", "k").mapInArrow(run, f"layer_id long, key {kind}, pos long")
 
 
+#: Filters are held in blocks of so many bits, 4 KiB.
+BLOCK_BITS = 15
+
+
 def build(entries: DataFrame, fp_rate: float = 0.01) -> DataFrame:
-    """The filters of all layers as rows (layer_id, byte, bits): built by a grouped OR, never as one object."""
+    """The filters of all layers as rows (layer_id, block, bits), a bitmap of 2**BLOCK_BITS bits each.
+
+    Bits are set in the map tasks and ORed after the shuffle, a block at a time: a filter of any size is never one object.
+    """
     sized = entries.select("layer_id", "key").join(parameters(entries, fp_rate), "layer_id")
-    each = positions(sized).select("layer_id", F.floor(F.col("pos") / 8).alias("byte"), F.expr("shiftleft(1, cast(pos % 8 as int))").alias("bit"))
-    return each.groupBy("layer_id", "byte").agg(F.bit_or("bit").alias("bits"))
+    each = positions(sized).select("layer_id", F.shiftright("pos", BLOCK_BITS).alias("block"), F.col("pos").bitwiseAND((1 << BLOCK_BITS) - 1).alias("bit"))
+    return each.groupBy("layer_id", "block").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
 def probe(requests: DataFrame, filters: DataFrame, params: DataFrame) -> DataFrame:
     """(layer_id, key, maybe): whether the layer may hold the key, for requests (layer_id, key)."""
-    asked = positions(requests.select("layer_id", "key").distinct().join(params, "layer_id")).withColumn("byte", F.floor(F.col("pos") / 8))
-    met = asked.join(filters, ["layer_id", "byte"], "left")
-    is_set = F.coalesce(F.col("bits").bitwiseAND(F.expr("shiftleft(1, cast(pos % 8 as int))")) > 0, F.lit(False))
+    asked = positions(requests.select("layer_id", "key").distinct().join(params, "layer_id")).withColumn("block", F.shiftright("pos", BLOCK_BITS))
+    met = asked.join(filters, ["layer_id", "block"], "left")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(F.col("pos").bitwiseAND((1 << BLOCK_BITS) - 1), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(pos % 8 as int))")) > 0, F.lit(False))
     return met.groupBy("layer_id", "key").agg(F.min(is_set).alias("maybe"))
 
 
-def marshal(m: int, k: int, bytes_: dict[int, int]) -> bytes:
+def marshal(m: int, k: int, blocks: dict[int, bytes]) -> bytes:
     """One filter's bytes: m, k, then the bit array."""
-    out = bytearray(m // 8)
-    for at, v in bytes_.items():
-        out[at] = v
-    return struct.pack("<QQ", m, k) + bytes(out)
+    width = 1 << (BLOCK_BITS - 3)
+    out = bytearray(-(-m // (8 * width)) * width)
+    for block, bits in blocks.items():
+        out[block * width : (block + 1) * width] = bits
+    return struct.pack("<QQ", m, k) + bytes(out[: m // 8])
 
 
 def unmarshal(data: bytes) -> tuple[int, int, bytes]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +38,10 @@ def describe(flushed: DataFrame) -> DataFrame:
     )
 
 
-def write_layer(flushed: DataFrame, path: str, codec: str = "snappy", bloom_ndv: int | None = None) -> None:
-    """One layer as Parquet: range-partitioned and sorted by key, with a Bloom filter on the key."""
-    writer = flushed.repartitionByRange("key").sortWithinPartitions("key").write.option("compression", codec).option("parquet.bloom.filter.enabled#key", "true")
+def write_layer(flushed: DataFrame, path: str, codec: str = "snappy", page_bytes: int = 8192, fp_rate: float = 0.01, bloom_ndv: int | None = None) -> None:
+    """One layer as Parquet: range-partitioned and sorted by key, with pages of ``page_bytes`` and a Bloom filter on the key."""
+    writer = flushed.repartitionByRange("key").sortWithinPartitions("key").write.option("compression", codec)
+    writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(fp_rate)).option("parquet.page.size", str(page_bytes))
     if bloom_ndv:
         writer = writer.option("parquet.bloom.filter.expected.ndv#key", str(bloom_ndv))
     writer.parquet(path)
@@ -71,34 +73,40 @@ def layer_rule(flushed: DataFrame) -> DataFrame:
     return snapshot.latest(flushed, ("key",), "layer_id")
 
 
-def assign_rotations(log: DataFrame, max_bytes: int, shard: list[str] = []) -> DataFrame:
-    """``log`` with ``layer_no``: a table is frozen once its current entries reach ``max_bytes``.
+def assign_rotations(log: DataFrame, max_bytes: int, shard: list[str]) -> DataFrame:
+    """``log`` with ``layer_no``: within each shard a table is frozen once its current entries reach ``max_bytes``.
 
-    Bytes are those of the distinct keys' latest entries, as an overwrite replaces its predecessor, so
-    this is a sequential fold per shard by definition: each shard streams through one task, which
-    holds at most ``max_bytes`` of keys. At scale prefer fixed ranges of seq_no as layers.
+    Bytes are those of the distinct keys' latest entries, as an overwrite replaces its predecessor. What an
+    overwrite replaces is told by the row before it of the same key, so the fold over a shard is over
+    numbers only and its state is two of them; its keys and values are not touched. The fold is
+    sequential within a shard, so a shard must be bounded: a fixed range of sequence numbers, or a log segment,
+    of one node. Numbers must be unique within a shard; a null value has no bytes.
     """
     ship(log.sparkSession)
-    names = log.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, no, sizes, total = None, 0, {}, 0
-        for pdf in batches:
+    size = F.length("key") + F.coalesce(F.length("value"), F.lit(0))
+    of_key = Window.partitionBy(*shard, "key").orderBy("seq_no")
+    sized = log.select(*shard, "seq_no", size.cast("long").alias("size"), F.lag("seq_no").over(of_key).alias("prev"), F.lag(size.cast("long")).over(of_key).alias("prev_size"))
+    sized = sized.select(*shard, "seq_no", "size", F.coalesce("prev", F.lit(-1)).alias("prev"), F.coalesce("prev_size", F.lit(0)).alias("prev_size"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, no, start, total = None, 0, 0, 0
+        for batch in batches:
             out = []
-            for *where, key, value in zip(*(pdf[s] for s in shard), pdf["key"], pdf["value"]):
+            columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*shard, "seq_no", "size", "prev", "prev_size"))
+            for *where, seq, own, prev, replaced in zip(*columns):
                 if where != at:
-                    at, no, sizes, total = where, 0, {}, 0
+                    at, no, start, total = where, 0, seq, 0
                 out.append(no)
-                size = len(key) + (0 if value is None else len(value))
-                total += size - sizes.get(key, 0)
-                sizes[key] = size
+                total += own - (replaced if prev >= start else 0)
                 if total >= max_bytes:
-                    no, sizes, total = no + 1, {}, 0
-            yield pdf.assign(layer_no=out)
-
-    parted = (log.repartition(*shard) if shard else log.coalesce(1)).sortWithinPartitions(*shard, "seq_no")
-    schema = ", ".join(f"`{n}` {log.schema[n].dataType.simpleString()}" for n in names)
-    return parted.mapInPandas(run, schema + ", layer_no long")
+                    no, start, total = no + 1, seq + 1, 0
+            kept = [batch.schema.get_field_index(c) for c in (*shard, "seq_no")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(out, pa.int64())], names=[*shard, "seq_no", "layer_no"])
+
+    kinds = ", ".join(f"`{n}` {log.schema[n].dataType.simpleString()}" for n in (*shard, "seq_no"))
+    parted = sized.repartition(*shard).sortWithinPartitions(*shard, "seq_no")
+    numbers = parted.mapInArrow(run, f"{kinds}, layer_no long")
+    return log.join(numbers, [*shard, "seq_no"])
 
 
 def blocks(flushed: DataFrame, block_size: int = 8192) -> DataFrame:

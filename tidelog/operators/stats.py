@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.operators import bloom
 from tidelog.operators.layers import record_bytes
 from tidelog.schema import DEL, PUT
+from tidelog.sources import datasource
 
 
 def op_counts(log: DataFrame) -> DataFrame:
@@ -37,16 +37,7 @@ def store_stats(log: DataFrame, tables: DataFrame) -> DataFrame:
     return l.withColumns({"sst_count": t["tables"], "sst_total_bytes": t["bytes"]})
 
 
-def read_metrics(requests: DataFrame, flushed: DataFrame, fp_rate: float = 0.01) -> DataFrame:
-    """One row: filter checks, filter skips and block reads of looking up every key of ``requests``.
-
-    A lookup asks the layers from the newest on and stops at the first that holds the key, tombstones
-    included. The live layers are few (writes stall beyond a limit), so each key meets each of them.
-    """
-    layers = F.array_sort(F.collect_set("layer_id"))
-    asked = requests.select("key").distinct().withColumn("layer_id", F.explode(flushed.agg(layers).scalar()))
-    said = bloom.probe(asked, bloom.build(flushed), bloom.parameters(flushed))
-    held = flushed.groupBy("key").agg(F.max("layer_id").alias("newest"))
-    met = said.join(held, "key", "left").where(F.col("newest").isNull() | (F.col("layer_id") >= F.col("newest")))
-    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
-    return met.agg(F.count(F.lit(1)).alias("bloom_checks"), count(~F.col("maybe")).alias("bloom_skips"), count(F.col("maybe")).alias("block_reads"))
+def read_metrics(requests: DataFrame, folder: str) -> DataFrame:
+    """One row: filter checks, filter skips and block reads of looking up every key of ``requests`` in the tables of ``folder``."""
+    met = datasource.point_reads(requests.select("key").distinct(), folder)
+    return met.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("bloom_checks", "bloom_skips", "block_reads")])

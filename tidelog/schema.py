@@ -47,10 +47,6 @@ class Corruption(StoreError):
     status = "DATA_LOSS"
 
 
-class NotSupported(StoreError):
-    status = "UNIMPLEMENTED"
-
-
 def status_of(error: BaseException | None) -> str:
     """OK, the status of a store error, or INTERNAL."""
     return "OK" if error is None else getattr(error, "status", "INTERNAL")

@@ -68,8 +68,3 @@ class StateStream:
 
     def start(self, log: DataFrame, **trigger) -> StreamingQuery:
         return log.writeStream.foreachBatch(self.apply).option("checkpointLocation", f"{self.path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
-
-
-def maintain(live_tables: int, immutables: int, trigger: int) -> list[str]:
-    """The background work due between micro-batches: flushing goes before compaction."""
-    return ["flush"] * (immutables > 0) or ["compact"] * manifest.wants_compaction(live_tables, trigger, immutables)
