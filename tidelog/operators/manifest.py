@@ -5,16 +5,18 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import asdict, dataclass, replace
-from pathlib import Path, PurePath
+from pathlib import PurePath
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.schema import Corruption
+from tidelog.sources import files
 
 
 @dataclass(frozen=True)
 class Table:
+    # Field names of the manifest's JSON.
     id: int
     file: str
     min_key: str
@@ -44,18 +46,20 @@ class Manifest:
 
     def save(self, path: str) -> None:
         """Written aside and renamed: a reader sees the old or the new manifest, nothing between."""
-        aside = Path(path + ".tmp")
-        aside.write_text(json.dumps(asdict(self), indent=2))
-        aside.replace(path)
+        with files.open_write(f"{path}.tmp") as f:
+            f.write(json.dumps(asdict(self), indent=2).encode())
+        files.move(f"{path}.tmp", path)
 
 
 def load(path: str) -> Manifest:
     """The manifest at ``path``; a missing file is an empty store. Anything malformed is Corruption."""
-    p = Path(path)
-    if not p.exists():
+    try:
+        length = files.size(path)
+    except FileNotFoundError:
         return Manifest()
     try:
-        raw = json.loads(p.read_text())
+        with files.open_read(path) as f:
+            raw = json.loads(f.read(length))
         m = Manifest(int(raw.get("version", 0)), int(raw.get("epoch", 0)), tuple(Table(**t) for t in raw.get("tables") or ()))
     except (ValueError, TypeError, AttributeError) as e:
         raise Corruption(f"manifest {path}: {e}") from e

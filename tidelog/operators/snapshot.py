@@ -96,7 +96,12 @@ def memory_size(log: DataFrame) -> DataFrame:
     return latest(log).agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"))
 
 
-def recover(layers: DataFrame, log: DataFrame) -> DataFrame:
-    """State after a restart: entries of the live layers and of the log, which may repeat them, folded."""
-    entries = layers.select("key", "seq_no", F.when(F.col("tombstone"), DEL).otherwise(PUT).cast("tinyint").alias("op"), "value")
-    return latest(entries.unionByName(log.select("key", "seq_no", F.col("op").cast("tinyint").alias("op"), "value")))
+def recover(layers: DataFrame, log: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:
+    """State after a restart: entries of the live layers and of the log, which may repeat them, folded.
+
+    Both have ``keys``, seq_no, and the same other columns; ``tombstone`` in layers stands for ``op`` in the log.
+    Of a put and a delete with one number the delete counts.
+    """
+    entries = layers.withColumn("op", F.when(F.col("tombstone"), DEL).otherwise(PUT).cast("tinyint")).drop("tombstone")
+    logged = log.withColumn("op", F.col("op").cast("tinyint"))
+    return latest(entries.select(*logged.columns).unionByName(logged), keys, F.struct("seq_no", "op"))

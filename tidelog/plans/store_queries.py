@@ -95,7 +95,7 @@ def layer_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def layer_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return layers.file_sizes(flushed(spark, d))
+    return layers.file_sizes(written(flushed(spark, d), "flushed"), 1024)
 
 
 def merge_layers(spark: SparkSession, d: str) -> DataFrame:
@@ -103,11 +103,10 @@ def merge_layers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def compaction_equivalence(spark: SparkSession, d: str) -> DataFrame:
-    """The rows in which fold(merge(layers)) and fold(log) differ, counted."""
-    merged = snapshot.live(layers.merge(flushed(spark, d))).select("key", "seq_no", F.lit(1).alias("side"))
-    direct = live_snapshot(spark, d).select("key", "seq_no", F.lit(-1).alias("side"))
-    net = merged.union(direct).groupBy("key", "seq_no").agg(F.sum("side").alias("net"))
-    return net.agg(F.coalesce(F.sum((F.col("net") != 0).cast("long")), F.lit(0)).alias("differences"))
+    """Per key the live row by fold(merge(layers)) beside the one by fold(log)."""
+    merged = snapshot.live(layers.merge(flushed(spark, d)).select("key", "seq_no", "op")).select("key", F.col("seq_no").alias("merged_seq"))
+    direct = snapshot.live(changelog(spark, d).select("key", "seq_no", "op")).select("key", F.col("seq_no").alias("direct_seq"))
+    return merged.join(direct, "key", "full_outer")
 
 
 def layer_read_rule(spark: SparkSession, d: str) -> DataFrame:
@@ -177,10 +176,8 @@ def recovery_fold_store(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "flush_run").where("status = 'committed'").select("run_id")
     owner = table(spark, d, "manifest_table").join(runs, "run_id", "left_semi").select(F.col("id").alias("layer_id"), "node_id").distinct()
     entries = table(spark, d, "sst_entry").where("seq_no is not null and tombstone is not null and key is not null").join(owner, "layer_id")
-    held = entries.select("node_id", "key", "seq_no", F.when(F.col("tombstone"), 2).otherwise(1).cast("tinyint").alias("op"))
-    logged = table(spark, d, "wal_record").where(signed.is_valid()).select("node_id", "key", "seq_no", "op")
-    top = held.unionByName(logged).groupBy("node_id", "key").agg(F.max("seq_no").alias("seq_no"), F.max(F.when(F.col("op") == 2, F.col("seq_no"))).alias("dead"))
-    return top.where("dead is null or dead < seq_no").select("node_id", F.lower(F.hex("key")).alias("key_hex"), "seq_no")
+    state = snapshot.recover(entries.select("node_id", "key", "seq_no", "tombstone"), table(spark, d, "wal_record").where(signed.is_valid()).select("node_id", "key", "seq_no", "op"), ["node_id", "key"])
+    return state.where("op = 1").select("node_id", F.lower(F.hex("key")).alias("key_hex"), "seq_no")
 
 
 def ring_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -234,43 +231,20 @@ def bloom_hash(spark: SparkSession, d: str) -> DataFrame:
     return bloom.key_hashes(changelog(spark, d).select("key").distinct())
 
 
-def bloom_probe(spark: SparkSession, d: str) -> DataFrame:
-    """What the layers' filters say about every key of the log and as many absent ones, in counts per layer."""
-    rows = written(flushed(spark, d), "flushed")
-    keys = changelog(spark, d).select("key").distinct()
-    asked = keys.union(keys.select(F.concat("key", F.lit("-absent")))).distinct()
-    per_layer = asked.withColumn("layer_id", F.explode(rows.agg(F.array_sort(F.collect_set("layer_id"))).scalar()))
-    said = bloom.probe(per_layer, bloom.build(rows), bloom.parameters(rows))
-    held = said.join(rows.select("layer_id", "key", F.lit(True).alias("held")), ["layer_id", "key"], "left")
-    return held.groupBy("layer_id").agg(
-        F.sum(F.coalesce("held", F.lit(False)).cast("long")).alias("held"), F.sum((F.coalesce("held", F.lit(False)) & ~F.col("maybe")).cast("long")).alias("missed"), F.count(F.lit(1)).alias("asked")
-    )
-
-
 def index_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return layers.blocks(flushed(spark, d), 4096).withColumn("block", F.col("block").cast("long"))
+    return layers.blocks(written(flushed(spark, d), "flushed"), 1024).withColumn("block", F.col("block").cast("long"))
 
 
 def index_locate(spark: SparkSession, d: str) -> DataFrame:
-    """For every live layer entry the block of a fixed-size index that would be read."""
-    return layers.locate(flushed(spark, d).select("layer_id", "key"), _sparse(spark, d)).select("layer_id", "key", F.col("block").cast("long").alias("block"), "first_key")
-
-
-def _sparse(spark: SparkSession, d: str) -> DataFrame:
-    """Every key of two characters or fewer starts a block."""
-    rows = flushed(spark, d).where(F.length("key") <= 2)
-    return rows.select("layer_id", F.col("key").alias("first_key"), F.col("seq_no").alias("block"))
+    """For every layer entry the block that would be read."""
+    rows = written(flushed(spark, d), "flushed")
+    return layers.locate(rows.select("layer_id", "key"), layers.blocks(rows, 1024)).select("layer_id", "key", F.col("block").cast("long").alias("block"), "first_key")
 
 
 def store_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats.store_stats(changelog(spark, d), live_tables(spark, d))
 
 
-def read_metrics(spark: SparkSession, d: str) -> DataFrame:
-    keys = changelog(spark, d).select("key").distinct()
-    return stats.read_metrics(keys.union(keys.select(F.concat("key", F.lit("-absent")))), written(flushed(spark, d), "flushed"))
-
-
 def op_counts(spark: SparkSession, d: str) -> DataFrame:
     return stats.op_counts(changelog(spark, d))
 
@@ -288,11 +262,6 @@ def invalid_mutations(spark: SparkSession, d: str) -> DataFrame:
     return bad.select("record_id", "reason")
 
 
-def rotation(spark: SparkSession, d: str) -> DataFrame:
-    """Layers by memtable size instead of by range: entries and bytes frozen each time 4 KiB are reached."""
-    return layers.assign_rotations(changelog(spark, d), 4096).groupBy("layer_no").agg(F.count(F.lit(1)).alias("mutations"), F.min("seq_no").alias("first"), F.max("seq_no").alias("last"))
-
-
 def stream_live_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """The changelog as a stream of files, folded batch by batch until all are read."""
     source = table(spark, d, "events")
@@ -310,7 +279,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         live_snapshot, latest_with_tombstones, deleted_keys, point_get, multi_get, snapshot_as_of_seq, memory_size, layer_flush, layer_manifest, layer_sizes, merge_layers, compaction_equivalence,
         layer_read_rule, seq_read_rule, size_tiered_pick, pick_fallback, pick_per_node_store, manifest_after_compaction, manifest_info, manifest_violations, list_layers, orphan_layers, live_layer_entries,
         recovery_fold_store, ring_tokens, ring_preference, ring_ownership, routing, write_quorum_outcome, replica_state, read_quorum_outcome, read_quorum_unavailable, stale_after_missed_writes, bloom_params,
-        bloom_hash, bloom_probe, index_blocks, index_locate, store_stats, read_metrics, op_counts, wal_bytes, wal_segments_store, invalid_mutations, rotation, stream_live_snapshot,
+        bloom_hash, index_blocks, index_locate, store_stats, op_counts, wal_bytes, wal_segments_store, invalid_mutations, stream_live_snapshot,
     )
 }
 
@@ -352,7 +321,8 @@ ORACLE: dict[str, str] = {
     "layer_manifest": f"""WITH {FLUSHED} SELECT layer_id, count(*) AS entries, min(key) AS min_key, max(key) AS max_key, min(seq_no) AS min_seq_no, max(seq_no) AS max_seq_no, CAST(sum({SIZE}) AS BIGINT) AS data_bytes
  FROM flushed GROUP BY layer_id""",
     "merge_layers": f"WITH {FLUSHED} SELECT key, seq_no, op, value, layer_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq_no DESC, layer_id) AS r2 FROM flushed) z WHERE r2 = 1",
-    "compaction_equivalence": "SELECT 0 AS differences",
+    "compaction_equivalence": f"""WITH {FLUSHED}, m AS (SELECT key, seq_no FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq_no DESC) AS r2 FROM flushed) z WHERE r2 = 1 AND op = 1),
+ l AS (SELECT key, seq_no FROM ({LAST.format('log')}) z WHERE rn = 1 AND op = 1) SELECT key, m.seq_no AS merged_seq, l.seq_no AS direct_seq FROM m FULL OUTER JOIN l USING (key)""",
     "layer_read_rule": f"WITH {MERGED} SELECT key, seq_no, op FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY layer_id DESC) AS r3 FROM lay) z WHERE r3 = 1",
     "seq_read_rule": f"WITH {MERGED} SELECT key, seq_no, op FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq_no DESC) AS r3 FROM lay) z WHERE r3 = 1",
     "size_tiered_pick": f"WITH {TABLES}, t AS (SELECT id, file_size AS sz FROM tables), {PICK.format(k=4, r=2.0)} SELECT * FROM picked",
@@ -394,9 +364,6 @@ ORACLE: dict[str, str] = {
  SELECT layer_id, n, m, CAST(greatest(round(m / n * ln(2)), 1) AS BIGINT) AS k FROM s""",
     "bloom_hash": f"""WITH {LOG} SELECT key, lpad(lower(printf('%x', h1)), 16, '0') AS h1, lpad(lower(printf('%x', h2)), 16, '0') AS h2 FROM
  (SELECT key, CAST({FNV.format(start="14695981039346656037", prime="1099511628211")} AS UBIGINT) AS h1, CAST({FNV.format(start="1099511628211", prime="1000000007")} AS UBIGINT) AS h2 FROM (SELECT DISTINCT key FROM log) u) v""",
-    "bloom_probe": f"WITH {FLUSHED}, u AS (SELECT count(DISTINCT key) * 2 AS n FROM log) SELECT layer_id, count(*) AS held, 0 AS missed, (SELECT n FROM u) AS asked FROM flushed GROUP BY layer_id",
-    "index_locate": f"""WITH {FLUSHED}, ix AS (SELECT layer_id, key AS first_key, seq_no AS block FROM flushed WHERE length(key) <= 2)
- SELECT f.layer_id, f.key, i.block, i.first_key FROM flushed f ASOF LEFT JOIN ix i ON f.layer_id = i.layer_id AND f.key >= i.first_key""",
     "store_stats": f"""WITH {TABLES} SELECT (SELECT count(*) FROM log) AS mutations, (SELECT count(*) FROM log WHERE op = 1) AS puts, (SELECT count(*) FROM log WHERE op = 2) AS deletes, (SELECT max(seq_no) FROM log) AS last_seq_no,
  (SELECT CAST(sum({SIZE}) AS BIGINT) FROM log) AS bytes_written, (SELECT count(*) FROM tables) AS sst_count, (SELECT CAST(sum(file_size) AS BIGINT) FROM tables) AS sst_total_bytes""",
     "op_counts": f"WITH {LOG} SELECT op, count(*) AS n, min(seq_no) AS first_seq_no, max(seq_no) AS last_seq_no FROM log GROUP BY op",
