@@ -39,6 +39,31 @@ def test_sliced_arrays_and_long_texts():
         assert split(*ENCODER.encode(array)) == [whole(text), [], [], whole("tail")]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(list("ab'sT1.l-é日я…") + ["'ll", "　", "\u2003", "\x85", "word", "'re", "日本語", " " * 9, "🎬"]), min_size=30, max_size=300).map("".join))
+def test_joins_without_exact_points_are_repaired(text):
+    text = text.replace("🎬", "") if len(text) % 3 else text
+    assert split(*ENCODER.encode(pa.array([text]))) == [whole(text)]
+
+
+def test_repairs_happen_and_chunks_are_shared_within_stretches():
+    rnd = random.Random(2)
+    e = tokenize.Encoder(tokenize.rank_file())
+    unit = "".join(rnd.choice("abcdefgh'日本語のя") for _ in range(400))
+    texts = [rnd.choice("xyz") * rnd.randrange(1, 9) + unit * 3 for _ in range(20)]
+    assert split(*e.encode(pa.array(texts))) == [whole(t) for t in texts]
+    assert e.repaired > 100 and e.encoded < e.seen / 3
+
+
+@pytest.mark.parametrize("width", [8, 16, 64])
+def test_windows_of_any_size(monkeypatch, width):
+    monkeypatch.setattr(tokenize, "LONG", width)
+    rnd = random.Random(width)
+    for _ in range(200):
+        text = "".join(rnd.choice(["'", "l", "'ll", "s", "ab", "日", "　", "\u2003\u2003", "1", ".", "…", "\x85"]) for _ in range(rnd.randrange(200)))
+        assert split(*ENCODER.encode(pa.array([text]))) == [whole(text)]
+
+
 def test_a_small_dictionary_changes_nothing(monkeypatch):
     monkeypatch.setattr(tokenize, "MAX_CHUNKS", 5)
     e = tokenize.Encoder(tokenize.rank_file())
@@ -47,6 +72,20 @@ def test_a_small_dictionary_changes_nothing(monkeypatch):
         assert split(*e.encode(pa.array(texts))) == [whole(t) for t in texts]
 
 
+def test_a_full_dictionary_keeps_what_is_used_most(monkeypatch):
+    monkeypatch.setattr(tokenize, "MAX_CHUNKS", 60)
+    e = tokenize.Encoder(tokenize.rank_file())
+    often = [f"common line {j}\n" for j in range(5)]
+    for i in range(8):
+        e.encode(pa.array(["".join(often) + f"rare {i} {k}\n" for k in range(30)]))
+    e._shrink()
+    assert 0 < len(e.chunks) <= 30 and any(b"common" in c for c in e.chunks)
+    texts = ["".join(often), "rare 7 29\nnew"]
+    before = e.encoded
+    assert split(*e.encode(pa.array(texts))) == [whole(t) for t in texts]
+    assert e.encoded - before < 8
+
+
 def test_equal_chunks_are_encoded_once():
     e = tokenize.Encoder(tokenize.rank_file())
     e.encode(pa.array([f"same line here\nand another one\nonly {i}\nsame line here\n" for i in range(100)]))
