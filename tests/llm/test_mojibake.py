@@ -164,3 +164,17 @@ def test_every_multi_byte_chain_is_tried(spark):
         rows += [(7000 + k, "", f"{chains.garble(words[0], chain)} here")] if words else []
     want = {i for i, _, _ in rows if i >= 7000}
     assert len(want) > 25 and found(spark, rows)[0] == want
+
+
+def test_fitting_on_executors_gives_the_same(spark):
+    counted = [(w, 7 + k % 5) for words in WORDS.values() for k, w in enumerate(words) if not w.isascii()]
+    a, b = mojibake.train(counted), mojibake.train(counted, spark)
+    assert a.chains == b.chains and mojibake.np.array_equal(a.table, b.table)
+
+
+def test_accuracy_on_held_out_documents(spark):
+    got = mojibake.accuracy(frame(spark, corpus(900))).collect()
+    whole = [r for r in got if r.kind != "word"]
+    n = sum(r.documents for r in whole)
+    assert n > 50 and sum(r.found for r in whole) >= 0.9 * n
+    assert sum(r.restored for r in whole) >= 0.8 * n

@@ -30,7 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import chains
@@ -211,31 +211,50 @@ class Classifier:
         return self.scores(items).sum(axis=0)
 
 
-def train(counted: list[tuple[str, int]]) -> Classifier:
-    """Fit on (word, count) pairs taken as clean, after dropping words that are garbled forms of others or evidently garbled."""
+def forms_of(counted: list[tuple[str, int]], chain: tuple[str, str]) -> list[tuple[str, str, int]]:
+    """(word, garbled form, count) of the words that the chain changes."""
+    return [(w, g, n) for w, n in counted if (g := chains.garble(w, chain)) is not None and g != w]
+
+
+def weights(items: list[str], counts: list[int]) -> np.ndarray:
+    """How often each hashed bigram occurs; a word weighs the root of its count."""
+    h, item = bigrams(items) if items else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return np.bincount(h, np.sqrt(np.array(counts, float))[item] if len(h) else None, 1 << HASH_BITS)
+
+
+def train(counted: list[tuple[str, int]], spark: SparkSession | None = None) -> Classifier:
+    """Fit on (word, count) pairs taken as clean, after dropping words that are garbled forms of others or evidently garbled.
+
+    With ``spark`` each chain is garbled and counted by a task; what comes back is a row of fixed size per chain.
+    """
     count: dict[str, int] = {}
     for w, n in counted:
         count[core(w)] = count.get(core(w), 0) + n
-    garbled: set[str] = set()
-    forms: list[tuple[list[str], list[int]]] = []
-    for chain in chains.CHAINS:
-        forms.append(([], []))
-        for w, n in counted:
-            g = chains.garble(w, chain)
-            if g is None or g == w:
-                continue
-            forms[-1][0].append(g)
-            forms[-1][1].append(n)
-            if len(w) > 1 and 0 < count.get(core(g), 0) * RATIO <= n:
-                garbled.add(core(g))
-    clean = [(w, n) for w, n in counted if core(w) not in garbled and not any(c[0] == "utf-8" and (o := chains.ungarble(w, c)) is not None and evident(w, o, c) for c in chains.CHAINS)]
-    forms.append(([w for w, _ in clean], [n for _, n in clean]))
-    table = np.zeros((len(forms), 1 << HASH_BITS), np.float32)
-    for k, (items, weight) in enumerate(forms):
-        h, item = bigrams(items) if items else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        seen = np.bincount(h, np.sqrt(np.array(weight, float))[item] if len(h) else None, 1 << HASH_BITS) + SMOOTH
-        table[k] = np.log(seen / seen.sum())
-    return Classifier(chains.CHAINS, table)
+
+    def fit(chain: tuple[str, str]) -> tuple[list[str], np.ndarray]:
+        forms = forms_of(counted, chain)
+        known = [core(g) for w, g, n in forms if len(w) > 1 and 0 < count.get(core(g), 0) * RATIO <= n]
+        return known, weights([g for _, g, _ in forms], [n for _, _, n in forms])
+
+    if spark is None:
+        fitted = {c: fit(c) for c in chains.CHAINS}
+    else:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    known, table = fit(chains.CHAINS[k])
+                    cols = [pa.array([k], pa.int64()), pa.array([known], pa.list_(pa.string())), pa.array([table.astype("<f8").tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["chain", "known", "table"])
+
+        each = spark.range(len(chains.CHAINS), numPartitions=min(len(chains.CHAINS), 2 * partitions(spark))).mapInArrow(run, "chain long, known array<string>, table binary")
+        fitted = {chains.CHAINS[r.chain]: (r.known, np.frombuffer(r.table, "<f8")) for r in each.collect()}  # a row a chain
+    garbled = {w for known, _ in fitted.values() for w in known}
+    utf8 = [c for c in chains.CHAINS if c[0] == "utf-8"]
+    clean = [(w, n) for w, n in counted if core(w) not in garbled and not any((o := chains.ungarble(w, c)) is not None and evident(w, o, c) for c in utf8)]
+    rows = [*(fitted[c][1] for c in chains.CHAINS), weights([w for w, _ in clean], [n for _, n in clean])]
+    seen = np.array(rows, float) + SMOOTH
+    return Classifier(chains.CHAINS, np.log(seen / seen.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
 def garbled_words(counts: DataFrame, model: Classifier) -> DataFrame:
@@ -360,7 +379,7 @@ def find(documents: DataFrame, train_words: int = TRAIN_WORDS) -> Garbled:
     once = parts.where(F.size("words") > 0).groupBy("text_hash").agg(F.first("words").alias("words"))
     counts = written(once.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "counts")
     frequent = written(counts.orderBy(F.desc("n"), "word").limit(train_words), "frequent")  # ranked by executors, not the driver
-    model = train([(r.word, r.n) for r in frequent.orderBy(F.desc("n"), "word").collect()])
+    model = train([(r.word, r.n) for r in frequent.orderBy(F.desc("n"), "word").collect()], documents.sparkSession)
     bad = written(garbled_words(counts, model), "garbled")
     held = each.join(bad, "word").groupBy("doc_id").agg(
         F.max("strong").alias("strong"), F.countDistinct("word").alias("different"), F.max("changed").alias("changed"), F.max("sure").alias("sure"), F.collect_set(F.struct("word", "restored", "written", "read", "strong")).alias("words")
@@ -416,26 +435,33 @@ def restored(text: str, swap: dict[str, str], tried: set[tuple[str, str]], model
     if not swap:
         return text, (None, None)
     chain, depth = chain_of(swap, tried, model)
-    whole = 2 * len(swap) > len(words(text))
+    others = [w for w in words(text) if w not in swap]
+    scores = model.scores([*others, *swap])
+    margin = scores[:, chains.CHAINS.index(chain)] - scores[:, -1]
+    most = len(swap) > len(others) or float(margin.sum()) > 0
+    # words without a counterpart in the corpus: all of them if the text as a whole is likelier garbled than clean, else those likelier so beside garbled ones
+    likely = {w for w, m in zip(others, margin.tolist()) if most or m >= 0}
     composed = lambda s: None if s is None else unicodedata.normalize("NFC", s)
 
     def line(s: str) -> str:
         if s.isascii() and "&" not in s:
             return s
         beyond = words(s)
-        own = [w for w in beyond if w in swap]
-        if not (own or whole):
+        sure = [w for w in beyond if w in swap]
+        if not (sure or most):
             return s
-        if not s.isascii() and (whole or len(own) == len(beyond)):
+        if not s.isascii() and (chain[0] in chains.MULTIBYTE or all(w in swap or w in likely for w in beyond)):
             o = chains.unwound(s, chain, depth)
-            if o is not None and all(swap[w] in composed(o) for w in own):
+            if o is not None and (most or all(swap[w] in composed(o) for w in sure)):
                 return o
         return "".join(p if p.isascii() and "&" not in p else piece(p) for p in re.split(f"({_SPLIT.pattern})", s))
 
     def piece(p: str) -> str:
         for w in words(p):
-            o = chains.unwound(w, chain, depth) if whole or composed(chains.unwound(w, chain, depth)) == swap.get(w) else None
-            o = swap.get(w) if o is None else o
+            if w not in swap and w not in likely:
+                continue
+            o = chains.unwound(w, chain, depth)
+            o = o if w not in swap or composed(o) == swap[w] or most and o is not None else swap[w]
             if o is not None and (span := _span(p, w)):
                 p = p[: span[0]] + o + p[span[1] :]
         return p
@@ -454,3 +480,76 @@ def _span(p: str, word: str) -> tuple[int, int] | None:
     if found and normal(p[found[0] : found[1] + 1]) == word:  # an entity may end without its semicolon
         return found[0], found[1] + 1
     return found
+
+
+#: Kinds of synthetic garbling, and the share of the clean documents that are garbled for a measurement.
+KINDS, EVERY = ("whole", "line", "word"), 8
+
+
+def garble_some(documents: DataFrame, seed: int = 0, every: int = EVERY) -> DataFrame:
+    """(doc_id, text, clean, kind, written, read): one in ``every`` documents, chosen by hash, garbled by a chain chosen by hash.
+
+    Whole, in its longest line beyond ASCII, or in one word. Those that no chain can change keep a null ``kind``.
+    """
+    ship(documents.sparkSession)
+
+    def part(text: str, kind: str, pick: int) -> tuple[int, int] | None:
+        """The span to garble: the text, a line or a word."""
+        if kind == "whole":
+            return 0, len(text)
+        spans = [m.span() for m in re.finditer(r"[^\r\n]+" if kind == "line" else r"[^\s<>{}]+", text) if not m.group().isascii()]
+        return max(spans, key=lambda s: s[1] - s[0]) if kind == "line" and spans else spans[pick % len(spans)] if spans else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text, h in zip(batch.column(0).to_pylist(), strings(batch.column(1)), batch.column(2).to_pylist()):
+                row = (doc, text, None, None, None, None)
+                pick = h // every
+                span = part(text, KINDS[pick % 3], pick) if text and h % every == 0 and not text.isascii() else None
+                for k in range(len(chains.CHAINS)) if span else ():
+                    chain = chains.CHAINS[(pick // 3 + k * 97) % len(chains.CHAINS)]
+                    g = chains.garble(text[span[0] : span[1]], chain)
+                    if g is not None and g != text[span[0] : span[1]]:
+                        row = (doc, text[: span[0]] + g + text[span[1] :], text, KINDS[pick % 3], *chain)
+                        break
+                rows.append(row)
+            kinds = [batch.schema.field(0).type, *[pa.string()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names=["doc_id", "text", "clean", "kind", "written", "read"])
+
+    hashed = documents.select("doc_id", "text", F.abs(F.xxhash64("doc_id", F.lit(seed)) % (1 << 40)).alias("h"))
+    return hashed.mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, text string, clean string, kind string, written string, read string")
+
+
+def accuracy(documents: DataFrame, seed: int = 0) -> DataFrame:
+    """(kind, encoding, documents, found, chain_right, restored) of synthetically garbled documents held out of the fit.
+
+    The documents not found garbled are taken as clean, one in EVERY of them is garbled, and the whole is searched
+    again, with a classifier fitted anew. ``chain_right`` counts the documents whose one predicted chain turns the garbled
+    part back exactly (chains that give the same text are one), ``restored`` those that come back exactly as they were.
+    ``encoding`` is that of the original: utf-8, double byte or single byte.
+    """
+    clean = documents.join(find(documents).documents.select("doc_id"), "doc_id", "left_anti")
+    mixed = written(garble_some(clean, seed), "mixed")
+    found = find(mixed)
+    back = restore(mixed, found).select("doc_id", "restored", F.col("written").alias("said"), F.col("read").alias("said_read"))
+    true = mixed.where("kind is not null").join(back, "doc_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            rows = []
+            for text, orig, kind, enc, restored_, said, said_read in zip(*cols):
+                right = False
+                if said is not None:
+                    pairs = [(a, b) for a, b in zip(text.split("\n"), orig.split("\n")) if a != b] if text.count("\n") == orig.count("\n") else [(text, orig)]
+                    if kind == "word":
+                        pairs = [(x, y) for a, b in pairs for x, y in zip(a.split(" "), b.split(" ")) if x != y]
+                    right = all(any(chains.unwound(a, (said, said_read), n) == b for n in range(1, chains.DEPTH + 1)) for a, b in pairs)
+                rows.append((kind, "utf-8" if enc == "utf-8" else "double byte" if enc in chains.MULTIBYTE else "single byte", restored_ is not None, right, restored_ == orig))
+            kinds = [pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 5, kinds)], names=["kind", "encoding", "found", "right", "same"])
+
+    each = true.select("text", "clean", "kind", "written", "restored", "said", "said_read").mapInArrow(run, "kind string, encoding string, found boolean, right boolean, same boolean")
+    count = lambda c: F.sum(F.col(c).cast("long"))
+    return each.groupBy("kind", "encoding").agg(F.count(F.lit(1)).alias("documents"), count("found").alias("found"), count("right").alias("chain_right"), count("same").alias("restored"))

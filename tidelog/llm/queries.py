@@ -87,7 +87,12 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(documents, mojibake.find(documents))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_batches, p2_rate, p2_rate_short, p7_ids, p7_reuse, p8_found, p8_mix, p8_shares, p8_exact, p8_faults, p9_found, p9_restored)}
+def p9_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Recall, accuracy of the predicted chain and exact restoration on documents garbled for the purpose."""
+    return mojibake.accuracy(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_batches, p2_rate, p2_rate_short, p7_ids, p7_reuse, p8_found, p8_mix, p8_shares, p8_exact, p8_faults, p9_found, p9_restored, p9_accuracy)}
 #: Tokenizing and restoring have no SQL; these queries are tested against plain encoding, brute force and held-out texts.
 ORACLE: dict[str, str] = {
     "p2_found": """SELECT record_id FROM (SELECT record_id, key, row_number() OVER (PARTITION BY key ORDER BY record_id) AS rn FROM wal_incoming WHERE key IS NOT NULL AND octet_length(key) > 0) i
