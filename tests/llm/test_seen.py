@@ -35,6 +35,8 @@ def test_batches_against_a_set(spark):
     levels = [r["level"] for r in index.runs]
     assert max(levels) >= 1 and all(levels.count(x) < 2 for x in levels)  # full levels were merged
     assert max(r["zones"] for r in index.runs) > 1 and sum(r["keys"] for r in index.runs) == len(known)
+    for r in index.runs:  # another session does not know the tables
+        spark.sql(f"DROP TABLE {r['table']}")
     again = seen.SeenKeys(spark, index.path, fanout=2)
     assert ids(again.process(batch(spark, [(10**6, b"hot"), (10**6 + 1, b"new")]))) == [10**6]
 

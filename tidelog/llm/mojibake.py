@@ -452,7 +452,7 @@ def restored(text: str, swap: dict[str, str], tried: set[tuple[str, str]], model
             return s
         if not s.isascii() and (chain[0] in chains.MULTIBYTE or all(w in swap or w in likely for w in beyond)):
             o = chains.unwound(s, chain, depth)
-            if o is not None and (most or all(swap[w] in composed(o) for w in sure)):
+            if o is not None and (most and "&" not in s or all(swap[w] in composed(o) for w in sure)):
                 return o
         return "".join(p if p.isascii() and "&" not in p else piece(p) for p in re.split(f"({_SPLIT.pattern})", s))
 
