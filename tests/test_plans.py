@@ -3,18 +3,54 @@
 import pytest
 
 import __spark_entry__ as entry
+from tidelog.plans import store_queries
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
-def test_no_cross_joins(spark, sf, name):
+def executed(spark, run):
+    """The plans of everything that ``run`` executes, written steps included."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    each = store.executionsList()
+    plans = {each.apply(i).executionId(): each.apply(i).physicalPlanDescription() for i in range(each.size())}
+    return [p for i, p in plans.items() if i >= before]
+
+
+WHOLE = ["p1_found", "p3_found", "p4_found", "p5_found", "p6_found", "requests", "bloom_probe", "read_metrics", "index_locate", "rotation"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_no_cross_joins_in_anything_executed(spark, sf, name):
+    plans = executed(spark, lambda: entry.queries()[name](spark, sf).collect())
+    assert plans
+    for text in plans:
+        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+@pytest.mark.parametrize("name", sorted(store_queries.QUERIES.keys() - {"stream_live_snapshot"}))
+def test_no_cross_joins_planned(spark, sf, name):
     text = plan(entry.queries()[name](spark, sf))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+@pytest.mark.parametrize("name", ["write_quorum_outcome", "read_quorum_outcome"])
+def test_no_exchange_by_node_alone(spark, sf, name):
+    import re
+
+    for text in executed(spark, lambda: entry.queries()[name](spark, sf).collect()):
+        assert not re.search(r"hashpartitioning\(node_id#\d+L?, \d+\)", text)
+
+
+@pytest.mark.parametrize("name", ["p3_found", "deleted_keys", "layer_manifest", "memory_size"])
+def test_narrow_folds_are_hash_aggregates(spark, sf, name):
+    for text in executed(spark, lambda: entry.queries()[name](spark, sf).collect()):
+        assert "SortAggregate" not in text
+
+
 def test_columns_are_pruned(spark, sf):
     text = plan(entry.queries()["p1_found"](spark, sf))
     assert "ReadSchema: struct<key:binary>" in text and "arrived_at" not in text

@@ -30,11 +30,17 @@ def record_bytes():
     return F.lit(RECORD_HEADER) + F.length("key") + F.coalesce(F.length("value"), F.lit(0))
 
 
+def sized(log: DataFrame) -> DataFrame:
+    """What ``flush`` and ``describe`` need to describe layers: (layer_id, key, seq_no, bytes), without the values."""
+    return log.select("layer_id", "key", "seq_no", record_bytes().cast("long").alias("bytes"))
+
+
 def describe(flushed: DataFrame) -> DataFrame:
-    """Per layer: entry count, key and sequence range, and the bytes of its records."""
+    """Per layer: entry count, key and sequence range, and the bytes of its records, from the values or from ``bytes`` as of ``sized``."""
+    size = F.col("bytes") if "bytes" in flushed.columns else record_bytes()
     return flushed.groupBy("layer_id").agg(
         F.count(F.lit(1)).alias("entries"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.min("seq_no").alias("min_seq_no"), F.max("seq_no").alias("max_seq_no"),
-        F.sum(record_bytes()).cast("long").alias("data_bytes"),
+        F.sum(size).cast("long").alias("data_bytes"),
     )
 
 

@@ -60,9 +60,19 @@ def numbered(rows: DataFrame, base: int) -> DataFrame:
     return placed.join(before, "_part").withColumn("seq_no", seq).drop("_at", "_part", "_row", "_before")
 
 
+#: Types whose values have one width, so that a hash aggregate can keep them in place.
+FIXED = frozenset(("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp"))
+
+
 def latest(log: DataFrame, keys: Sequence[str] = ("key",), order: str | Column = "seq_no") -> DataFrame:
-    """The winning row of each key: the one with the greatest ``order``; nulls in it survive as they are."""
+    """The winning row of each key: the one with the greatest ``order``; nulls in it survive as they are.
+
+    Either way the fold begins in the map tasks. Rows of fixed-width columns are folded by a hash
+    aggregate; rows with texts or bytes need a sort aggregate, so select what is needed first.
+    """
     rest = [c for c in log.columns if c not in keys]
+    if all(log.schema[c].dataType.simpleString() in FIXED for c in rest):
+        return log.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in rest])
     return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("w")).select(*keys, "w.*")
 
 
@@ -93,7 +103,8 @@ def multi_get(requests: DataFrame, log: DataFrame) -> DataFrame:
 def memory_size(log: DataFrame) -> DataFrame:
     """(entries, bytes) of the folded log: key and value bytes of the current entries."""
     size = F.length("key") + F.coalesce(F.length("value"), F.lit(0))
-    return latest(log).agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"))
+    entries = latest(log.select("key", "seq_no", size.cast("long").alias("size")))
+    return entries.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
 def recover(layers: DataFrame, log: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:

@@ -37,9 +37,13 @@ def flushed(spark: SparkSession, d: str) -> DataFrame:
     return layers.flush(changelog(spark, d))
 
 
+def sized(spark: SparkSession, d: str) -> DataFrame:
+    return layers.flush(layers.sized(changelog(spark, d)))
+
+
 def live_tables(spark: SparkSession, d: str) -> DataFrame:
     """The flushed layers as manifest rows; record bytes stand for the file size."""
-    m = layers.describe(flushed(spark, d))
+    m = layers.describe(sized(spark, d))
     return m.select((F.col("layer_id") + 1).alias("id"), F.format_string("%06d.sst", F.col("layer_id") + 1).alias("file"), "min_key", "max_key", "min_seq_no", "max_seq_no", F.col("data_bytes").alias("file_size"))
 
 
@@ -65,7 +69,7 @@ def latest_with_tombstones(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deleted_keys(spark: SparkSession, d: str) -> DataFrame:
-    return snapshot.deleted(changelog(spark, d)).select("key", "seq_no")
+    return snapshot.deleted(changelog(spark, d).select("key", "seq_no", "op")).select("key", "seq_no")
 
 
 def point_get(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +95,7 @@ def layer_flush(spark: SparkSession, d: str) -> DataFrame:
 
 
 def layer_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return layers.describe(flushed(spark, d))
+    return layers.describe(sized(spark, d))
 
 
 def layer_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +123,7 @@ def seq_read_rule(spark: SparkSession, d: str) -> DataFrame:
 
 def _merged_out_of_order(spark: SparkSession, d: str) -> DataFrame:
     """Layers after a merge of the two oldest ones, whose output is numbered as the newest."""
-    rows = flushed(spark, d)
+    rows = layers.flush(changelog(spark, d).select("layer_id", "key", "seq_no", "op"))
     old = F.col("layer_id") < 2
     return layers.merge(rows.where(old)).withColumn("layer_id", F.lit(1 << 30).cast("long")).unionByName(rows.where(~old))
 
@@ -141,7 +145,7 @@ def pick_per_node_store(spark: SparkSession, d: str) -> DataFrame:
 def manifest_after_compaction(spark: SparkSession, d: str) -> DataFrame:
     t = live_tables(spark, d)
     inputs = size_tiered_pick(spark, d).select("id")
-    merged = layers.merge(flushed(spark, d).join(inputs.select((F.col("id") - 1).alias("layer_id")), "layer_id", "left_semi"))
+    merged = layers.merge(sized(spark, d).join(inputs.select((F.col("id") - 1).alias("layer_id")), "layer_id", "left_semi"))
     m = layers.describe(merged.withColumn("layer_id", F.lit(0).cast("long")))
     number = t.agg(F.max("id") + 1).scalar()
     out = m.select(number.alias("id"), F.format_string("%06d.sst", number).alias("file"), "min_key", "max_key", "min_seq_no", "max_seq_no", F.col("data_bytes").alias("file_size"))
@@ -220,11 +224,12 @@ def read_quorum_unavailable(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stale_after_missed_writes(spark: SparkSession, d: str) -> DataFrame:
-    return quorum.stale(replica_state(spark, d), changelog(spark, d))
+    narrow = spread(spark, d).select("key", "seq_no", "op", "prefs")
+    return quorum.stale(quorum.replica_state(narrow, outage(spark)), changelog(spark, d))
 
 
 def bloom_params(spark: SparkSession, d: str) -> DataFrame:
-    return bloom.parameters(flushed(spark, d))
+    return bloom.parameters(sized(spark, d))
 
 
 def bloom_hash(spark: SparkSession, d: str) -> DataFrame:
