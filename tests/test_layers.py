@@ -148,3 +148,19 @@ def test_read_metrics_against_lookups(spark, tmp_path):
             if (l, k) in {r[:2] for r in data}:
                 break
     assert tuple(stats.read_metrics(asked, str(tmp_path)).first()) == (checks, skips, reads)
+
+
+def test_read_metrics_are_shared_out_by_spans_of_tables(spark, tmp_path, monkeypatch):
+    from tidelog.operators import stats
+    from tidelog.sources import datasource
+
+    data = [(l, b"k%d" % k, l * 100 + k, 2 if (l + k) % 5 == 0 else 1, b"v%d" % k) for l in range(13) for k in range(l % 4, 60, l + 1)]
+    datasource.write_tables(layers.entries(flushed(spark, [(l, k, s, op, None if op == 2 else v) for l, k, s, op, v in data])), str(tmp_path), 64)
+    keys = [b"k%d" % k for k in range(60)] + [b"absent%d" % k for k in range(400)] + [b"", b"k0\0"]
+    files = [codec.TableFile(datasource.table_path(str(tmp_path), l)) for l in range(13)]
+    for k in keys:
+        next((l for l in range(12, -1, -1) if files[l].get(k)), None)
+    asked = spark.createDataFrame([(k,) for k in keys], "key binary").coalesce(1)
+    assert datasource.point_reads(asked, str(tmp_path)).rdd.getNumPartitions() > 1
+    monkeypatch.setattr(datasource, "SPAN", 3)
+    assert stats.read_metrics(asked, str(tmp_path)).first().asDict() == {c: sum(t.counters[c] for t in files) for c in files[0].counters}

@@ -9,16 +9,19 @@ folder is not one that all machines share.
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import groupby
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
+from tidelog.functions import hashing
 from tidelog.schema import DEL, Corruption
-from tidelog.session import ship
+from tidelog.session import partitions, ship
 from tidelog.sources import codec, files
 
 
@@ -180,38 +183,85 @@ def write_tables(entries: DataFrame, folder: str, block_size: int = 8192, fp_rat
     together.write.format("kvsst").mode("append").option("path", folder).option("blockSize", block_size).option("fpRate", fp_rate).save()
 
 
+#: Tables that a task of point_reads looks through, if there are so many that they must be shared out, and the keys it holds at a time.
+SPAN, HELD = 64, 1 << 18
+
+
 def point_reads(requests: DataFrame, folder: str) -> DataFrame:
     """(key, layer_id, value, seq_no, tombstone, bloom_checks, bloom_skips, block_reads) of looking every ``key`` up.
 
-    A lookup asks the tables of ``folder`` from the newest on and stops at the first that holds the
-    key, tombstones included; keys that none holds have a null layer_id. A task opens each table once: footer,
-    index and filter stay with it, entries are read block by block. Tables are few, since writes stall
-    beyond a limit. Null keys are in no table.
+    A lookup asks the tables that ``folder`` holds now from the newest on and stops at the first that holds the
+    key, tombstones included; keys that none holds have a null layer_id. Null keys are in no table. Each
+    distinct key is looked up once. A task takes a span of tables and a part of the keys, opens a table once for up to
+    HELD keys, asks its filter for all of them together and reads a block once for all that pass; the counters are those of
+    lookups one by one. Spans are looked through at the same time: a key found in one is looked for in older spans in
+    vain, and what that counted is left out.
     """
-    register(requests.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables: dict[int, codec.TableFile] = {}
-        newest = table_ids(folder)[::-1]
+    spark = register(requests.sparkSession)
+    newest, tasks = table_ids(folder)[::-1], partitions(spark)
+    spans = max(1, min(tasks, len(newest) // SPAN))
+    parts = -(-tasks // spans)
+    of_span = [newest[len(newest) * i // spans : len(newest) * (i + 1) // spans] for i in range(spans)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = defaultdict(list)
         for batch in batches:
-            rows = []
-            for key in batch["key"]:
-                before = {i: dict(t.counters) for i, t in tables.items()}
-                found, at = None, None
-                for at in newest if key is not None else ():
-                    if at not in tables:
-                        tables[at] = codec.TableFile(table_path(folder, at))
-                    if (found := tables[at].get(bytes(key))) is not None:
-                        break
-                used = [sum(t.counters[c] - before.get(i, {}).get(c, 0) for i, t in tables.items()) for c in ("bloom_checks", "bloom_skips", "block_reads")]
-                rows.append((key, *((at, found[1], found[2], found[3]) if found else (None,) * 4), *used))
-            out = pd.DataFrame(rows, columns=["key", "layer_id", "value", "seq_no", "tombstone", "bloom_checks", "bloom_skips", "block_reads"])
-            yield out.astype({"layer_id": "Int64", "seq_no": "Int64", "tombstone": "boolean"})
-        for t in tables.values():
+            for span, key, n in zip(*(c.to_pylist() for c in batch.columns)):
+                held[span].append((key, n))
+            for span in [s for s, own in held.items() if len(own) >= HELD]:
+                yield from _looked_up(folder, of_span[span], span, held.pop(span))
+        for span, own in held.items():
+            yield from _looked_up(folder, of_span[span], span, own)
+
+    asked = requests.select(F.col("key").cast("binary").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    spread = asked.select(F.explode(F.sequence(F.lit(0), F.lit(spans - 1))).alias("span"), "key", "n")
+    part = F.when(F.col("key").isNull(), parts - 1).otherwise(F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+    met = spread.repartitionById(spans * parts, F.col("span") * parts + part).mapInArrow(run, LOOKED_UP)
+    if spans > 1:
+        so_far = Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, 0)
+        hits = F.sum(F.col("layer_id").isNotNull().cast("int")).over(so_far)
+        met = met.withColumns({"hits": hits, "bloom_checks": F.sum("bloom_checks").over(so_far), "block_reads": F.sum("block_reads").over(so_far)})
+        met = met.where(F.when(F.col("layer_id").isNull(), (F.col("hits") == 0) & (F.col("span") == spans - 1)).otherwise(F.col("hits") == 1))
+    # as many rows as requests, by arrays of bounded length
+    each = met.withColumn("lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 1024)))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n") - F.col("lot") * 1024, F.lit(1024)))))
+    return each.select("key", "layer_id", "value", "seq_no", "tombstone", "bloom_checks", (F.col("bloom_checks") - F.col("block_reads")).alias("bloom_skips"), "block_reads")
+
+
+LOOKED_UP = "key binary, n long, span int, layer_id long, value binary, seq_no long, tombstone boolean, bloom_checks long, block_reads long"
+
+
+def _looked_up(folder: str, tables: list[int], span: int, asked: list[tuple[bytes | None, int]]) -> Iterator[pa.RecordBatch]:
+    """The rows LOOKED_UP of distinct keys with their numbers of requests; those found in a table come once it is read."""
+    kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+    names = [c.split()[0] for c in LOOKED_UP.split(", ")]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    nulls, asked = [a for a in asked if a[0] is None], [a for a in asked if a[0] is not None]
+    left, reads = np.arange(len(asked)), np.zeros(len(asked), np.int64)
+    h1, h2 = hashing.bloom_hashes([key for key, _ in asked])
+    for checks, number in enumerate(tables, 1):
+        if not len(left):
+            break
+        t = codec.TableFile(table_path(folder, number))
+        try:
+            passing = t.passing(h1, h2)
+            reads[left[passing]] += 1
+            keys = [asked[i][0] for i in left[passing].tolist()]
+            found = t.find(keys)
+        finally:
             t.close()
-
-    schema = "key binary, layer_id long, value binary, seq_no long, tombstone boolean, bloom_checks long, bloom_skips long, block_reads long"
-    return requests.select(F.col("key").cast("binary").alias("key")).mapInPandas(run, schema)
+        if found:
+            hit = [at for at, key in zip(passing.tolist(), keys) if key in found]
+            yield batch([(*asked[i], span, number, *found[asked[i][0]][1:], checks, int(reads[i])) for i in left[hit].tolist()])
+            kept = np.ones(len(left), bool)
+            kept[hit] = False
+            left, h1, h2 = left[kept], h1[kept], h2[kept]
+    if len(left):
+        yield batch([(*asked[i], span, None, None, None, None, len(tables), int(reads[i])) for i in left.tolist()])
+    if nulls:
+        yield batch([(*a, span, None, None, None, None, 0, 0) for a in nulls])
 
 
 def register(spark: SparkSession) -> SparkSession:
