@@ -163,3 +163,47 @@ def test_spark_source_torn_tail(spark, tmp_path):
     with pytest.raises(Exception, match="cut off"):
         spark.read.format("kvwal").load(str(tmp_path)).count()
     assert spark.read.format("kvwal").option("mode", "PERMISSIVE").load(str(tmp_path)).count() == 7
+
+
+def test_many_keys_are_looked_up_in_a_table_together(tmp_path):
+    entries = [(b"k%04d" % i, None if i % 9 == 0 else b"v" * 50, i, i % 9 == 0) for i in range(2000)]
+    size = codec.write_table(tmp_path / "000001.sst", entries, 512)
+    t = codec.TableFile(tmp_path / "000001.sst")
+    keys = [b"k%04d" % i for i in range(0, 2000, 7)] + [b"absent%d" % i for i in range(3000)] + [b"", b"a", b"z", b"k0000\0"]
+    passing = t.passing(*hashing.bloom_hashes(keys)).tolist()
+    assert passing == [i for i, k in enumerate(keys) if t.maybe(k)] and 286 < len(passing) < 400
+    assert t.find(keys) == {k: e for k in keys if (e := t.get(k))} and len(t.find(keys)) == 286
+    assert t.find([]) == t.find([b"a"]) == {} and t.passing(*hashing.bloom_hashes([])).tolist() == []
+    read, held = [], t.file
+
+    class Counting:
+        def seek(self, at):
+            held.seek(at)
+
+        def read(self, n):
+            read.append(n)
+            return held.read(n)
+
+    t.file = Counting()
+    t.find(keys)
+    assert sum(read) <= size and len(read) < 286
+    read.clear()
+    assert list(t.find([b"k0001", b"k0002", b"k1500"])) == [b"k0001", b"k0002", b"k1500"] and sum(read) < 2 * 700
+
+
+@pytest.mark.parametrize("span", [1, 64])
+def test_point_reads_answer_every_request(spark, tmp_path, monkeypatch, span):
+    """Also what is asked more than 1,024 times, null keys, and keys that several spans of tables hold."""
+    monkeypatch.setattr(datasource, "SPAN", span)
+    monkeypatch.setattr(datasource, "HELD", 2)
+    schema = "layer_id long, key binary, value binary, seq_no long, tombstone boolean"
+    rows = [(1, b"a", b"1", 1, False), (1, b"b", b"2", 2, False), (2, b"a", None, 3, True), (3, b"c", b"", 4, False), (4, b"b", b"5", 5, False), (5, b"d", b"6", 6, False)]
+    datasource.write_tables(spark.createDataFrame(rows, schema), str(tmp_path))
+    asked = [b"a"] * 2500 + [b"b", b"b", None, b"", b"none", None] + [b"c"] * 1024 + [b"d"] * 1025
+    got = datasource.point_reads(spark.createDataFrame([(k,) for k in asked], "key binary"), str(tmp_path))
+    count = {(k and bytes(k), l, v and bytes(v), s, t, c): n for k, l, v, s, t, c, n in got.groupBy("key", "layer_id", "value", "seq_no", "tombstone", "bloom_checks").count().collect()}
+    assert count == {
+        (b"a", 2, None, 3, True, 4): 2500, (b"b", 4, b"5", 5, False, 2): 2, (b"c", 3, b"", 4, False, 3): 1024, (b"d", 5, b"6", 6, False, 1): 1025,
+        (None, None, None, None, None, 0): 2, (b"", None, None, None, None, 5): 1, (b"none", None, None, None, None, 5): 1,
+    }
+    assert datasource.point_reads(spark.createDataFrame([(b"a",)], "key binary"), f"{tmp_path}/none").select("layer_id", "bloom_checks").collect() == [(None, 0)]
