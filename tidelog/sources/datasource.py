@@ -238,9 +238,11 @@ def _looked_up(folder: str, tables: list[int], span: int, asked: list[tuple[byte
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    nulls, asked = [a for a in asked if a[0] is None], [a for a in asked if a[0] is not None]
+    nulls, asked = [a for a in asked if a[0] is None], sorted(a for a in asked if a[0] is not None)
     left, reads = np.arange(len(asked)), np.zeros(len(asked), np.int64)
-    h1, h2 = hashing.bloom_hashes([key for key, _ in asked])
+    keys = np.empty(len(asked), object)
+    keys[:] = [key for key, _ in asked]
+    h1, h2 = hashing.bloom_hashes(keys.tolist())
     for checks, number in enumerate(tables, 1):
         if not len(left):
             break
@@ -248,18 +250,20 @@ def _looked_up(folder: str, tables: list[int], span: int, asked: list[tuple[byte
         try:
             passing = t.passing(h1, h2)
             reads[left[passing]] += 1
-            keys = [asked[i][0] for i in left[passing].tolist()]
-            found = t.find(keys)
+            place = dict(zip(keys[left[passing]].tolist(), passing.tolist()))
+            found = t.find(place)
         finally:
             t.close()
         if found:
-            hit = [at for at, key in zip(passing.tolist(), keys) if key in found]
+            hit = [place[key] for key in found]
             yield batch([(*asked[i], span, number, *found[asked[i][0]][1:], checks, int(reads[i])) for i in left[hit].tolist()])
             kept = np.ones(len(left), bool)
             kept[hit] = False
             left, h1, h2 = left[kept], h1[kept], h2[kept]
     if len(left):
-        yield batch([(*asked[i], span, None, None, None, None, len(tables), int(reads[i])) for i in left.tolist()])
+        none, ns = [pa.nulls(len(left), k) for k in kinds[3:7]], np.fromiter((n for _, n in asked), np.int64, len(asked))
+        same = (pa.array(np.full(len(left), v), k) for v, k in ((span, pa.int32()), (len(tables), pa.int64())))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[left].tolist(), pa.binary()), pa.array(ns[left]), next(same), *none, next(same), pa.array(reads[left])], names=names)
     if nulls:
         yield batch([(*a, span, None, None, None, None, 0, 0) for a in nulls])
 
