@@ -208,3 +208,75 @@ def test_point_reads_answer_every_request(spark, tmp_path, monkeypatch, span):
         (None, None, None, None, None, 0): 2, (b"", None, None, None, None, 5): 1, (b"none", None, None, None, None, 5): 1,
     }
     assert datasource.point_reads(spark.createDataFrame([(b"a",)], "key binary"), f"{tmp_path}/none").select("layer_id", "bloom_checks").collect() == [(None, 0)]
+
+
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_many_keys_are_answered_without_a_lookup_each(spark, tmp_path, monkeypatch, partitions):
+    """What is asked more than 1,024 times, null keys, tombstones, empty values and keys of several tables too, as point_reads says."""
+    schema = "layer_id long, key binary, value binary, seq_no long, tombstone boolean"
+    rows = [(l, b"k%d" % k, None if (dead := (l + k) % 5 == 0) else b"" if k % 7 == 0 else b"v%d" % l, l * 1000 + k, dead) for l in range(9) for k in range(l, 90, l + 1)]
+    datasource.write_tables(spark.createDataFrame(rows, schema), str(tmp_path), 128)
+    asked = [b"k%d" % k for k in range(100)] + [b"absent%d" % k for k in range(2000)] + [b"", None, None, b"k0\0"] + [b"k12"] * 1500
+    requests = spark.createDataFrame([(k,) for k in asked], "key binary")
+    said = lambda df: sorted(map(repr, df.select("key", "layer_id", "value", "seq_no", "tombstone").collect()))
+    one_by_one = said(datasource.point_reads(requests, str(tmp_path)))
+    few = spark.createDataFrame([(b"k12",), (b"none",)], "key binary")
+    assert said(datasource.answers(few, str(tmp_path))) == said(datasource.point_reads(few, str(tmp_path)))
+    monkeypatch.setattr(datasource, "_each_looked_up", None)
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        assert said(datasource.answers(requests, str(tmp_path))) == one_by_one and len(one_by_one) == len(asked)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+def test_the_newest_entries_are_read_without_filters_and_each_table_once(tmp_path, monkeypatch):
+    for l in range(4):
+        codec.write_table(datasource.table_path(tmp_path.as_posix(), l), [(b"k%03d" % k, b"v%d" % l, k, False) for k in range(l * 20, 100)], 64)
+    monkeypatch.setattr(codec.TableFile, "passing", None)
+    monkeypatch.setattr(codec.TableFile, "find", None)
+    read, whole = [], codec.stream_columns
+    monkeypatch.setattr(codec, "stream_columns", lambda file, length, *a: read.append(length) or whole(file, length, *a))
+    got = [r for batch in datasource._newest_entries(tmp_path.as_posix(), [3, 2, 1, 0]) for r in batch.to_pylist()]
+    assert {r["key"]: r["layer_id"] for r in got} == {b"k%03d" % k: min(k // 20, 3) for k in range(100)} and len(got) == 100
+    assert len(read) == 4
+
+
+def test_tables_are_written_from_any_batches(tmp_path):
+    """A layer over several batches, several layers in one, rows not in order of their keys, and entries that may not be."""
+    import pyarrow as pa
+
+    schema = pa.schema({"layer_id": pa.int64(), "key": pa.binary(), "value": pa.binary(), "seq_no": pa.int64(), "tombstone": pa.bool_()})
+    rnd = random.Random(3)
+    entries = {l: {rnd.randbytes(rnd.randrange(1, 9)): (None if i % 4 == 0 else rnd.randbytes(rnd.randrange(0, 40)), i, i % 4 == 0) for i in range(60)} for l in (3, 5, 8)}
+    for at, order in enumerate((sorted, list)):
+        rows = [(l, k, *e[k]) for l, e in entries.items() for k in order(e)]
+        for n in (1, 7, 70, 1000):
+            folder = f"{tmp_path}/{at}-{n}"
+            w = datasource.TableWriter({"path": folder, "blocksize": "256"})
+            w.commit([w.write(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + n]), schema)], schema=schema) for i in range(0, len(rows), n))])
+            for l, e in entries.items():
+                path = datasource.table_path(folder, l)
+                assert codec.read_table(path)[0] == [(k, *e[k]) for k in sorted(e)]
+                codec.write_table(f"{tmp_path}/alone.sst", [(k, *e[k]) for k in e], 256)
+                assert Path(path).read_bytes() == Path(f"{tmp_path}/alone.sst").read_bytes()
+    for bad in ((None, b"k", b"v", 1, False), (1, None, b"v", 1, False), (1, b"k", b"v", None, False), (1, b"k", b"v", -1, False)):
+        w = datasource.TableWriter({"path": f"{tmp_path}/bad"})
+        with pytest.raises(InvalidArgument):
+            w.write([pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(bad, schema)], schema=schema)])
+
+
+def test_checksums_of_all_lengths():
+    def slow(b):
+        c = 0xFFFFFFFF
+        for x in b:
+            c ^= x
+            for _ in range(8):
+                c = c >> 1 ^ (hashing.CASTAGNOLI if c & 1 else 0)
+        return c ^ 0xFFFFFFFF
+
+    rnd = random.Random(5)
+    data = [rnd.randbytes(n) for n in [*range(20), 0, 300, 3, 301]]
+    assert hashing.crc32c(data).tolist() == [slow(b) for b in data]
+    assert hashing.crc32c([]).tolist() == []

@@ -15,13 +15,14 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
 from tidelog.functions import hashing
-from tidelog.schema import DEL, Corruption
-from tidelog.session import partitions, ship
+from tidelog.schema import DEL, Corruption, InvalidArgument
+from tidelog.session import partitions, ship, written
 from tidelog.sources import codec, files
 
 
@@ -155,17 +156,27 @@ class TableReader(DataSourceReader):
         table.close()
 
 
-class TableWriter(PartWriter):
-    """One table per layer_id. A layer's rows must come together in one task, as write_tables sees to it."""
+class TableWriter(PartWriter, DataSourceArrowWriter):
+    """One table per layer_id. A layer's rows must come together in one task, as write_tables sees to it.
 
-    def write_part(self, part: str, rows) -> tuple[list[str], int]:
+    Rows come as Arrow batches, which are encoded by columns; a layer's encoded records are held until it ends.
+    """
+
+    def write_part(self, part: str, batches: Iterator[pa.RecordBatch]) -> tuple[list[str], int]:
         made = []
-        for layer, own in groupby(rows, key=lambda r: r["layer_id"]):
-            entries = [(bytes(r["key"]), None if r["tombstone"] else bytes(r["value"] or b""), r["seq_no"], r["tombstone"]) for r in own]
+        for layer, runs in groupby((r for batch in batches for r in _encoded(batch)), key=lambda r: r[0]):
             name = table_path("", layer).lstrip("/")
             if name in made:
                 raise Corruption(f"rows of layer {layer} are not together")
-            codec.write_table(f"{part}/{name}", entries, int(self.options.get("blocksize", 8192)), float(self.options.get("fprate", 0.01)))
+            runs = list(runs)
+            parts, path = [records for _, records, _ in runs], f"{part}/{name}"
+            size = int(self.options.get("blocksize", 8192)), float(self.options.get("fprate", 0.01))
+            keys = [k for _, _, k in runs]
+            if all(pc.all(pc.less_equal(k[:-1], k[1:])).as_py() is not False for k in keys) and all(a[-1].as_py() <= b[0].as_py() for a, b in zip(keys, keys[1:])):
+                codec.write_records(path, parts, *size)
+            else:
+                rows = (r for data, _, _ in parts for r in codec.decode(data.tobytes()))
+                codec.write_table(path, [(key, value, seq, bool(first)) for first, seq, key, value in rows], *size)
             made.append(name)
         return made, 0
 
@@ -176,6 +187,22 @@ class TableWriter(PartWriter):
         return own
 
 
+def _encoded(batch: pa.RecordBatch) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray], pa.Array]]:
+    """(layer, its records as of ``codec.encode_columns``, their keys) of each run of rows of one layer."""
+    kinds = {"layer_id": pa.int64(), "seq_no": pa.int64(), "key": pa.large_binary(), "value": pa.large_binary(), "tombstone": pa.bool_()}
+    layer, seq, key, value, tombstone = (batch.column(c).cast(kind) for c, kind in kinds.items())
+    if layer.null_count or seq.null_count or pc.any(pc.less(seq, 0)).as_py():
+        raise InvalidArgument("an entry without a layer or with no valid seq_no")
+    tombstone = tombstone.fill_null(False)
+    layer = layer.to_numpy()
+    data, start, lengths = codec.encode_columns(tombstone.to_numpy(zero_copy_only=False).astype(np.uint8), seq.to_numpy(), key, pc.if_else(tombstone, None, value))
+    bounds = [0, *(np.flatnonzero(np.diff(layer)) + 1).tolist(), len(layer)]
+    for a, b in zip(bounds, bounds[1:]):
+        if a < b:
+            own = data[start[a] : start[b - 1] + lengths[b - 1]]
+            yield int(layer[a]), (own, start[a:b] - start[a], lengths[a:b]), key[a:b]
+
+
 def write_tables(entries: DataFrame, folder: str, block_size: int = 8192, fp_rate: float = 0.01) -> None:
     """Write (layer_id, key, value, seq_no, tombstone) as one table file per layer; a layer is bounded by the memtable limit."""
     register(entries.sparkSession)
@@ -197,7 +224,87 @@ def point_reads(requests: DataFrame, folder: str) -> DataFrame:
     lookups one by one. Spans are looked through at the same time: a key found in one is looked for in older spans in
     vain, and what that counted is left out.
     """
+    return _repeated(_each_looked_up(_asked(requests), folder), "bloom_checks", (F.col("bloom_checks") - F.col("block_reads")).alias("bloom_skips"), "block_reads")
+
+
+def answers(requests: DataFrame, folder: str) -> DataFrame:
+    """(key, layer_id, value, seq_no, tombstone): what ``point_reads`` finds, without its counters.
+
+    A filter of k hashes lets one absent key in 2^k pass. Once the distinct keys are so many that this alone would have every block of
+    a table (the median of them) read, each table is read once, whole, and its entries are joined with the keys: that work grows with
+    the tables and the keys, that of lookups with their product. Fewer keys are looked up. The distinct keys are written aside, to be counted.
+    """
     spark = register(requests.sparkSession)
+    asked, sizes = written(_asked(requests), "asked"), files.names(folder)
+    newest = table_ids(folder)[::-1]
+    bytes_of = [sizes[table_path("", i).lstrip("/")] for i in newest]
+    if not newest or asked.count() < _keys_that_read_all(table_path(folder, newest[bytes_of.index(sorted(bytes_of)[len(newest) // 2])])):
+        return _repeated(_each_looked_up(asked, folder))
+    upto = np.cumsum(bytes_of)
+    spans = min(len(newest), max(partitions(spark), int(-(-upto[-1] // SCANNED))))
+    ends = np.searchsorted(upto, upto[-1] * np.arange(spans + 1) // spans, side="right").tolist()
+    of_span = [newest[a:b] for a, b in zip(ends, ends[1:])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for span in batch.column(0).to_pylist():
+                yield from _newest_entries(folder, of_span[span])
+
+    found = spark.range(0, spans, 1, spans).mapInArrow(run, ENTRIES)
+    if spans > 1:
+        found = found.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("layer_id")))).where("nth = 1").drop("nth")
+    return _repeated(asked.join(found.hint("merge"), "key", "left"))
+
+
+#: Bytes of tables that a task of answers reads, of which it holds the keys, and checks of a filter that take as long as reading an entry.
+SCANNED, CHECKS = 32 << 20, 100
+ENTRIES = "key binary, layer_id long, value binary, seq_no long, tombstone boolean"
+
+
+def _keys_that_read_all(path: str) -> int:
+    """From so many keys on, those that pass a table's filter by chance are as many as its blocks, or the checks take as long as reading the table."""
+    t = codec.TableFile(path)
+    t.close()
+    return min(len(t.index) << t.k, CHECKS * (t.data_end // codec.RECORD.size))
+
+
+def _newest_entries(folder: str, tables: list[int]) -> Iterator[pa.RecordBatch]:
+    """The rows ENTRIES of every key in ``tables``, each from the first of them that holds it."""
+    seen: set[bytes] = set()
+    for number in tables:
+        t = codec.TableFile(table_path(folder, number))
+        try:
+            for data, start, head in t.columns():
+                at = start + codec.RECORD.size
+                keys, new = [data[a:b] for a, b in zip(at.tolist(), (at + head["key"]).tolist())], []
+                for i, key in enumerate(keys):
+                    if key not in seen:
+                        seen.add(key)
+                        new.append(i)
+                if new:
+                    own, tombstone = head[new], (head["first"][new] & 1).astype(bool)
+                    value = at[new] + own["key"]
+                    values = [None if dead else data[a:b] for a, b, dead in zip(value.tolist(), (value + own["value"]).tolist(), tombstone.tolist())]
+                    cols = [pa.array([keys[i] for i in new], pa.binary()), pa.array(np.full(len(new), number)), pa.array(values, pa.binary()), pa.array(own["seq"].astype(np.int64)), pa.array(tombstone)]
+                    yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in ENTRIES.split(", ")])
+        finally:
+            t.close()
+
+
+def _asked(requests: DataFrame) -> DataFrame:
+    """(key, n): the distinct keys with their numbers of requests."""
+    return requests.select(F.col("key").cast("binary").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _repeated(met: DataFrame, *counters) -> DataFrame:
+    """As many rows of each key as its ``n`` requests, by arrays of bounded length."""
+    each = met.withColumn("lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 1024)))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n") - F.col("lot") * 1024, F.lit(1024)))))
+    return each.select("key", "layer_id", "value", "seq_no", "tombstone", *counters)
+
+
+def _each_looked_up(asked: DataFrame, folder: str) -> DataFrame:
+    """The rows LOOKED_UP of (key, n), one a key."""
+    spark = register(asked.sparkSession)
     newest, tasks = table_ids(folder)[::-1], partitions(spark)
     spans = max(1, min(tasks, len(newest) // SPAN))
     parts = -(-tasks // spans)
@@ -213,7 +320,6 @@ def point_reads(requests: DataFrame, folder: str) -> DataFrame:
         for span, own in held.items():
             yield from _looked_up(folder, of_span[span], span, own)
 
-    asked = requests.select(F.col("key").cast("binary").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     spread = asked.select(F.explode(F.sequence(F.lit(0), F.lit(spans - 1))).alias("span"), "key", "n")
     part = F.when(F.col("key").isNull(), parts - 1).otherwise(F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
     met = spread.repartitionById(spans * parts, F.col("span") * parts + part).mapInArrow(run, LOOKED_UP)
@@ -222,9 +328,7 @@ def point_reads(requests: DataFrame, folder: str) -> DataFrame:
         hits = F.sum(F.col("layer_id").isNotNull().cast("int")).over(so_far)
         met = met.withColumns({"hits": hits, "bloom_checks": F.sum("bloom_checks").over(so_far), "block_reads": F.sum("block_reads").over(so_far)})
         met = met.where(F.when(F.col("layer_id").isNull(), (F.col("hits") == 0) & (F.col("span") == spans - 1)).otherwise(F.col("hits") == 1))
-    # as many rows as requests, by arrays of bounded length
-    each = met.withColumn("lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 1024)))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n") - F.col("lot") * 1024, F.lit(1024)))))
-    return each.select("key", "layer_id", "value", "seq_no", "tombstone", "bloom_checks", (F.col("bloom_checks") - F.col("block_reads")).alias("bloom_skips"), "block_reads")
+    return met
 
 
 LOOKED_UP = "key binary, n long, span int, layer_id long, value binary, seq_no long, tombstone boolean, bloom_checks long, block_reads long"
